@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillworks.llm import bpe, quality_rules, sharding
+from quillworks.llm import bpe, ngram_join, quality_rules, repeats, sharding
 from quillworks.llm.common import read
 
 #: Where public vocabularies lie, unless TOKENIZER_DIR names another folder.
@@ -27,6 +27,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_sets(read(spark, sf_dir, "documents"), 4, 85)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 24)
 
@@ -36,4 +44,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op8_bin_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_suffix_dedup, op8_bin_packing, op10_quality_rules)}
