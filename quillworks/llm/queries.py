@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillworks.llm import bpe, ngram_join, quality_rules, repeats, sharding
+from quillworks.llm import bpe, decontamination, ngram_join, pii, quality_rules, repeats, sharding
 from quillworks.llm.common import read
 
 #: Where public vocabularies lie, unless TOKENIZER_DIR names another folder.
@@ -35,13 +35,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts_of_documents(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_suffix_dedup, op8_bin_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_suffix_dedup, op6_decontamination, op8_bin_packing, op9_pii, op10_quality_rules)}
