@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillworks.llm import bpe, decontamination, ngram_join, pii, quality_rules, repeats, sharding
+from quillworks.llm import bpe, decontamination, html_text, license_scan, ngram_join, pii, quality_rules, repeats, revisits, sharding
 from quillworks.llm.common import read
 
 #: Where public vocabularies lie, unless TOKENIZER_DIR names another folder.
@@ -35,10 +35,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.report(read(spark, sf_dir, "pages"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 24)
 
@@ -52,4 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_suffix_dedup, op6_decontamination, op8_bin_packing, op9_pii, op10_quality_rules)}
+    own = (op1_byte_bpe, op2_ngram_jaccard, op3_suffix_dedup, op4_license_scan, op5_html_text, op6_decontamination, op7_revisits, op8_bin_packing, op9_pii, op10_quality_rules)
+    return {f.__name__: f for f in own}
