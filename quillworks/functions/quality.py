@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillworks.functions import text as tx
@@ -51,28 +51,23 @@ BENCHMARK_PHRASES = [
 ]
 
 
-def dimensions(text: Column | str, least: int, most: int) -> dict[str, Column]:
-    """Unrounded dimensions from 0 to 1 (formatting may be negative for scripts beyond ASCII)."""
-    t = tx.given(text)
-    n = F.length(t)
-    sents = tx.sentences(t, 10)
-    a = tx.avg_sentence_length(t)
-    sizes = F.transform(sents, lambda s: tx.words_between_spaces(s).cast("double"))
-    sums = F.aggregate(sizes, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")))
-    std = F.sqrt(F.greatest(F.lit(0.0), (F.size(sents) * sums["q"] - sums["s"] * sums["s"])) / (F.size(sents) * F.size(sents)))
-    printable = tx.count(t, r"[\x20-\x7E\n]")
-    length = F.when(n < 500, (n - least) / F.lit(float(500 - least) or 1.0) if least != 500 else F.lit(1.0)).when(n <= 4000, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (n - 4000) / F.lit(float(most))))
+def dimensions(metrics: str, entropy: str, least: int, most: int) -> dict[str, Column]:
+    """Unrounded dimensions from 0 to 1 (formatting may be negative for scripts beyond ASCII), of ``measured`` metrics."""
+    m = lambda name: F.col(f"{metrics}.{name}")
+    n, a = m("n"), m("avg_sentence_len")
+    short = (n - least) / F.lit(float(500 - least)) if least != 500 else F.lit(1.0)
+    length = F.when(n < 500, short).when(n <= 4000, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (n - 4000) / F.lit(float(most))))
     return {
-        "completeness": F.least(F.size(sents) / 8, F.lit(1.0)),
+        "completeness": F.least(m("sentences") / 8, F.lit(1.0)),
         "clarity": F.when(a.between(8, 35), 1 - F.abs(a - 20) / 30).otherwise(F.lit(0.0)),
-        "coherence": F.when(F.size(sents) >= 3, F.greatest(F.lit(0.0), 1 - std / 20)).otherwise(F.lit(0.5)),
-        "density": F.least(tx.density(t) / 0.7, F.lit(1.0)),
-        "structure": tx.structure(t),
+        "coherence": F.when(m("sentences") >= 3, F.greatest(F.lit(0.0), 1 - m("sentence_spread") / 20)).otherwise(F.lit(0.5)),
+        "density": F.least(m("density") / 0.7, F.lit(1.0)),
+        "structure": m("structure"),
         "length": F.greatest(F.lit(0.0), F.least(F.lit(1.0), length)),
-        "formatting": 1 - (n - printable) / F.greatest(printable, F.lit(1)),
-        "uniqueness": 0.5 * tx.lexical_diversity(t) + 0.5 * tx.entropy_share(t),
-        "readability": tx.flesch(t),
-        "naturalness": tx.naturalness(t),
+        "formatting": 1 - (n - m("printable")) / F.greatest(m("printable"), F.lit(1)),
+        "uniqueness": 0.5 * m("lexical_diversity") + 0.5 * F.least(F.col(entropy) / 7, F.lit(1.0)),
+        "readability": m("flesch"),
+        "naturalness": m("naturalness"),
     }
 
 
@@ -87,23 +82,27 @@ def rounded(value: Column, digits: int) -> Column:
     return F.floor(value * 10**digits + 0.5) / 10**digits
 
 
-def scored(df, recipe: Recipe, text: str = "text"):
-    """``df`` with gate, dims (struct of rounded tenths, null behind the gate) and score (0 behind it)."""
+def scored(df: DataFrame, recipe: Recipe, text: str = "text") -> DataFrame:
+    """``df`` with gate, dims (struct of rounded tenths, null behind the gate), score (0 behind it), density and bits (entropy).
+
+    Texts behind the gate are not measured: the metrics see an empty text there.
+    """
     out = df.withColumn("gate", gate(text, recipe.min_chars, recipe.max_chars))
-    # texts behind the gate are not measured: the columns see null there
-    out = out.withColumn("__t", F.when(F.col("gate").isNull(), tx.given(text)))
-    exact = dimensions("__t", recipe.min_chars, recipe.max_chars)
+    out = out.withColumn("__open", F.when(F.col("gate").isNull(), tx.given(text)).otherwise(F.lit("")))
+    out = tx.measured(out, "__open", "__m").withColumn("bits", tx.entropy("__open"))
+    exact = dimensions("__m", "bits", recipe.min_chars, recipe.max_chars)
     out = out.withColumn("dims", F.when(F.col("gate").isNull(), F.struct(*(rounded(c * 10, 1).alias(k) for k, c in exact.items()))))
     total = sum((F.col(f"dims.{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    return out.withColumn("score", F.when(F.col("gate").isNull(), rounded(total, 2)).otherwise(F.lit(0.0))).drop("__t")
+    out = out.withColumn("score", F.when(F.col("gate").isNull(), rounded(total, 2)).otherwise(F.lit(0.0)))
+    return out.withColumn("density", F.col("__m.density")).drop("__open", "__m")
 
 
-def rejected(recipe: Recipe, text: str = "text") -> Column:
-    """The first reason against a scored row, or null for rows that stay."""
+def rejected(recipe: Recipe) -> Column:
+    """The first reason against a row of :func:`scored`, or null for rows that stay."""
     return (
         F.when(F.col("gate").isNotNull(), F.col("gate"))
-        .when(tx.entropy(text) < recipe.entropy, "low_entropy")
-        .when(tx.density(text) < recipe.min_density, "low_density")
+        .when(F.col("bits") < recipe.entropy, "low_entropy")
+        .when(F.col("density") < recipe.min_density, "low_density")
         .when(F.col("score") < recipe.quality, "below_threshold")
     )
 

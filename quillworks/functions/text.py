@@ -9,8 +9,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"[\p{L}\p{N}_]+"
@@ -38,11 +39,7 @@ def words_between_spaces(text: Column) -> Column:
     return count(text, rf"[^{SPACE}]+")
 
 
-def sentences(text: Column, longer_than: int) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), strip), lambda s: F.length(s) > longer_than)
-
-
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -81,20 +78,6 @@ def blank_ratio(text: Column | str) -> Column:
     return F.size(F.filter(lines, lambda x: x.rlike(rf"\A[{SPACE}]*\z"))) / F.size(lines)
 
 
-def total_words(sents: Column) -> Column:
-    return F.aggregate(sents, F.lit(0), lambda a, s: a + words_between_spaces(s))
-
-
-def avg_sentence_length(text: Column | str) -> Column:
-    sents = sentences(given(text), 5)
-    return F.when(F.size(sents) > 0, total_words(sents) / F.size(sents)).otherwise(F.lit(0.0))
-
-
-def lexical_diversity(text: Column | str) -> Column:
-    words = F.regexp_extract_all(F.lower(given(text)), F.lit(WORD), F.lit(0))
-    return F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(F.lit(0.0))
-
-
 def structure(text: Column | str) -> Column:
     t = given(text)
     parts = [(r"(?md)^#{1,6}[\x09-\x0D\x1C-\x20]", 0.3), (r"(?md)^[*-][\x09-\x0D\x1C-\x20]", 0.2), (r"(?md)^[0-9]+\.[\x09-\x0D\x1C-\x20]", 0.2), ("(?i)chapter|section|part|introduction|conclusion|summary", 0.3)]
@@ -102,7 +85,7 @@ def structure(text: Column | str) -> Column:
     return F.least(total, F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _entropy(texts: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -121,29 +104,56 @@ def entropy(text: Column | str) -> Column:
     return _entropy(given(text))
 
 
-def entropy_share(text: Column | str) -> Column:
-    return F.least(entropy(text) / 7, F.lit(1.0))
-
-
-def flesch(text: Column | str) -> Column:
-    t = given(text)
-    n = F.size(sentences(t, 2))
-    words = F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
-    syllables = F.aggregate(words, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), count(w, "[aeiouy]+")))
-    ease = 206.835 - 1.015 * (F.size(words) / n) - 84.6 * (syllables / F.size(words))
-    return F.when((n > 0) & (F.size(words) > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)) / 100).otherwise(F.lit(0.5))
-
+def measured(df: DataFrame, text: str = "text", to: str = "metrics") -> DataFrame:
+    """``df`` with a struct of all metrics in column ``to``.
 
-def naturalness(text: Column | str) -> Column:
+    Sentences and words are split once, in columns of their own, which every metric then reads; of a metric that nobody asks
+    for, nothing is computed.
+    """
+    kept = df.columns
     t = given(text)
-    sents = sentences(t, 5)
-    n = F.size(sents)
-    lengths = F.transform(sents, lambda s: words_between_spaces(s).cast("double"))
-    sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    variance = (n * sums["q"] - sums["s"] * sums["s"]) / (n * n)
+    df = df.withColumns({"__t": t, "__lower": F.lower(t)})
+    df = df.withColumns({"__pieces": F.transform(F.split("__t", SENTENCE_END), strip), "__words": F.regexp_extract_all("__lower", F.lit(WORD), F.lit(0))})
+
+    def longer(k: int) -> Column:
+        return F.filter("__pieces", lambda s: F.length(s) > k)
+
+    df = df.withColumns(
+        {
+            "__n2": F.size(longer(2)),
+            "__s5": F.transform(longer(5), lambda s: F.struct(words_between_spaces(s).cast("double").alias("n"), F.lower(F.regexp_extract(s, rf"[^{SPACE}]+", 0)).alias("first"))),
+            "__s10": F.transform(longer(10), lambda s: words_between_spaces(s).cast("double")),
+            "__syllables": F.aggregate("__words", F.lit(0), lambda a, w: a + F.greatest(F.lit(1), count(w, "[aeiouy]+"))),
+        }
+    )
+
+    def sums(values) -> Column:
+        """How many, their sum, and that of their squares."""
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        return F.aggregate(values, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+
+    df = df.withColumns({"__a": sums(F.transform("__s5", lambda s: s["n"])), "__b": sums("__s10"), "__firsts": F.size(F.array_distinct(F.transform("__s5", lambda s: s["first"])))})
+    return df.withColumn("__long", _metrics()).select(*kept, F.col("__long").alias(to))
+
+
+def _metrics() -> Column:
+    n, total = F.col("__a.n"), F.size("__words")
+    variance = (n * F.col("__a.q") - F.col("__a.s") * F.col("__a.s")) / (n * n)
+    wide = F.greatest(F.lit(0.0), F.col("__b.n") * F.col("__b.q") - F.col("__b.s") * F.col("__b.s")) / (F.col("__b.n") * F.col("__b.n"))
     std = F.when(variance > 0, F.sqrt(variance)).otherwise(F.lit(1.0))
-    lower = F.lower(t)
-    known = sum((F.when(lower.contains(p), 1).otherwise(0) for p in TRANSITIONS), F.lit(0))
-    first = F.transform(sents, lambda s: F.lower(F.regexp_extract(s, rf"[^{SPACE}]+", 0)))
-    score = 0.4 * F.least(std / 8, F.lit(1.0)) + 0.3 * F.greatest(F.lit(0.0), 1 - known / 8) + 0.3 * (F.size(F.array_distinct(first)) / n)
-    return F.when(n < 4, F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    known = sum((F.when(F.contains("__lower", F.lit(p)), 1).otherwise(0) for p in TRANSITIONS), F.lit(0))
+    natural = 0.4 * F.least(std / 8, F.lit(1.0)) + 0.3 * F.greatest(F.lit(0.0), 1 - known / 8) + 0.3 * (F.col("__firsts") / n)
+    ease = 206.835 - 1.015 * (total / F.col("__n2")) - 84.6 * (F.col("__syllables") / total)
+    return F.struct(
+        F.length("__t").alias("n"),
+        F.when(n > 0, F.col("__a.s") / n).otherwise(F.lit(0.0)).alias("avg_sentence_len"),
+        F.when(total > 0, F.size(F.array_distinct("__words")) / total).otherwise(F.lit(0.0)).alias("lexical_diversity"),
+        F.when((F.col("__n2") > 0) & (total > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)) / 100).otherwise(F.lit(0.5)).alias("flesch"),
+        F.when(n < 4, F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), natural))).alias("naturalness"),
+        F.col("__b.n").alias("sentences"),
+        F.when(F.col("__b.n") >= 3, F.sqrt(wide)).alias("sentence_spread"),
+        density("__t").alias("density"),
+        blank_ratio("__t").alias("blank_ratio"),
+        structure("__t").alias("structure"),
+        count(F.col("__t"), r"[\x20-\x7E\n]").alias("printable"),
+    )

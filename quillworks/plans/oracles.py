@@ -98,7 +98,7 @@ scored AS (SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN e < {r.entropy} T
 
 
 def metric(name: str, column: str) -> str:
-    return f"{BASE} SELECT doc_id, round({column}, 4) AS {name} FROM m"
+    return f"{BASE} SELECT doc_id, floor(({column}) * 10000 + 0.5::DOUBLE) / 10000 AS {name} FROM m"
 
 
 BALANCED = scored(RECIPES["balanced"])

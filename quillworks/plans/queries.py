@@ -35,26 +35,22 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("source", F.col("doc_id").alias("chapter_index"), F.format_string("Chapter %d", "doc_id").alias("chapter_title"), "text", "lang")
 
 
-def _metric(name: str, column) -> None:
+def _metric(name: str) -> None:
     """A query of doc_id and one rounded metric."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return documents(spark, sf_dir).select("doc_id", F.round(column("text"), 4).alias(name))
+        return tx.measured(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", quality.rounded(F.col(f"metrics.{name}"), 4).alias(name))
 
     QUERIES[name] = run
 
 
-for _name, _column in {
-    "density": tx.density,
-    "blank_ratio": tx.blank_ratio,
-    "avg_sentence_len": tx.avg_sentence_length,
-    "lexical_diversity": tx.lexical_diversity,
-    "structure": tx.structure,
-    "flesch": tx.flesch,
-    "entropy": tx.entropy,
-    "naturalness": tx.naturalness,
-}.items():
-    _metric(_name, _column)
+for _name in ("density", "blank_ratio", "avg_sentence_len", "lexical_diversity", "structure", "flesch", "naturalness"):
+    _metric(_name)
+
+
+@query
+def entropy(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", quality.rounded(tx.entropy("text"), 4).alias("entropy"))
 
 
 @query

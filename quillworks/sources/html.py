@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillworks.functions.text import given, normalize
 
@@ -102,7 +103,7 @@ def text_nodes(page: str) -> str:
     return "\n".join(tree.root.strings())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _text_nodes(pages: pd.Series) -> pd.Series:
     return pages.map(text_nodes)
 

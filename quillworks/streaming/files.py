@@ -28,7 +28,7 @@ def document_stream(spark: SparkSession, folder: str, schema: str, files_per_bat
 def scored_stream(documents: DataFrame, recipe: Recipe) -> DataFrame:
     """Documents that pass a recipe, with their type and score: every operator in it works row by row."""
     scored = quality.scored(documents, recipe)
-    return scored.withColumn("reject_reason", quality.rejected(recipe)).where("reject_reason is null").withColumn("content_type", quality.content_type("text")).drop("reject_reason", "gate")
+    return scored.withColumn("reject_reason", quality.rejected(recipe)).where("reject_reason is null").withColumn("content_type", quality.content_type("text")).drop("reject_reason", "gate", "density", "bits")
 
 
 def first_seen(documents: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
