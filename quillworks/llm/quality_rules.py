@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillworks.llm.common import store
 
@@ -21,7 +22,7 @@ HOST_RATE = 0.6
 #: The prior counts as at most and at least so many documents.
 PRIOR_DOCUMENTS = (1.0, 1e6)
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
@@ -65,12 +66,11 @@ def measure_text(text: str) -> tuple[int, int, int, int, int, int]:
     )
 
 
-@F.arrow_udf(f"struct<{MEASURES.replace(' long', ': bigint')}>")
+@F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
 def _measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([(part.split()[0], pa.int64()) for part in MEASURES.split(", ")])
-    names = [field.name for field in kind]
+    kind = pa.struct([(name, pa.int64()) for name in MEASURES])
     for texts in batches:
-        yield pa.array([dict(zip(names, measure_text(text.as_py() or ""), strict=True)) for text in texts], kind)
+        yield pa.array([dict(zip(MEASURES, measure_text(text.as_py() or ""), strict=True)) for text in texts], kind)
 
 
 def measures(docs: DataFrame, text: str = "text", to: str = "measures") -> DataFrame:
