@@ -40,11 +40,15 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs: its cleaner acts on garbage that the driver has collected."""
+    """Lets Spark drop the shuffle files of finished jobs: its cleaner acts on what the driver has collected as garbage, first
+    Python's handles, then the plans behind them."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,8 +2,11 @@
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and anything outside ASCII. Each item gives its windows of ``span``
 words. All words of the corpus are counted; the two rarest terms of each window are its anchors. The index holds the
-postings of all anchor terms: document, position, and the words around. A window's rarest list, shifted by the term's
-offset, is intersected with its second list; what is left is compared with the words around.
+postings (document, position) of all anchor terms. A window's rarest list, shifted by the term's offset, is intersected
+with its second list; what is left is compared with the document's words.
+
+Counts and index fold case by the engine's own lower(), which is fast and folds more than A-Z: it finds all that the
+exact words find, and the comparison is by those.
 
 Null texts have no words, null items no windows. doc_id names a document; repeated rows get the same figures each. An item of
 fewer words than a window is one window.
@@ -14,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.llm.common import ascii_lower, store
+from quillworks.llm.common import ascii_lower, release, store
 
 SPAN = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Anchor terms are broadcast up to this many (of at most some 100 bytes each, on average); beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -26,6 +30,11 @@ def words(text):
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def folded(text):
+    """As many words, with case folded further."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     """item_id, phrase (words joined by spaces), terms (array) of each distinct window."""
     split = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
@@ -36,69 +45,68 @@ def windows(items: DataFrame, span: int = SPAN) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of each word in all documents."""
-    return docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    return docs.select(F.explode(folded(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
 
 
 def anchors(phrases: DataFrame, counts: DataFrame, n: int = 2) -> DataFrame:
-    """phrase, terms and its ``n`` rarest places: rank (1 the rarest), term, offset."""
-    each = phrases.select("phrase", "terms", F.posexplode("terms").alias("offset", "term"))
+    """For each row of ``phrases`` (window, terms) its ``n`` rarest places: window, rank (1 the rarest), term, offset."""
+    each = phrases.select("window", F.posexplode("terms").alias("offset", "term")).withColumn("term", F.lower("term"))
     known = each.join(counts, "term", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy("times", "term", "offset")))
-    return ranked.where(F.col("rank") <= n).select("phrase", "terms", "rank", "term", "offset")
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("times", "term", "offset")))
+    return ranked.where(F.col("rank") <= n).select("window", "rank", "term", "offset")
 
 
-def index(docs: DataFrame, terms: DataFrame, span: int = SPAN) -> DataFrame:
-    """The positional postings of ``terms``: term, doc_id, pos, and around: the words from place ``since`` on."""
+def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The positional postings of ``terms``: term, doc_id, pos."""
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    placed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
-    if few:
-        found = placed.join(F.broadcast(terms), "term")
-    else:  # words around each place go through the shuffle, not whole texts
-        placed = placed.select("doc_id", "pos", "term", F.slice("w", F.greatest(F.col("pos") - span + 2, F.lit(1)), F.lit(2 * span - 1)).alias("around"))
-        found = placed.join(terms.hint("shuffle_merge"), "term")
-    since = F.greatest(F.col("pos") - span + 1, F.lit(0))
-    around = F.slice("w", since + 1, F.lit(2 * span - 1)) if few else F.col("around")
-    return found.select("term", "doc_id", "pos", since.alias("since"), around.alias("around"))
+    placed = docs.select("doc_id", F.posexplode(folded(F.col("text"))).alias("pos", "term"))
+    return placed.join(F.broadcast(terms) if few else terms.hint("shuffle_merge"), "term").select("term", "doc_id", "pos")
 
 
-def phrase_matches(postings: DataFrame, anchored: DataFrame) -> DataFrame:
-    """doc_id, phrase, start and length of every place of every window."""
+def phrase_matches(docs: DataFrame, postings: DataFrame, anchored: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, window, start and length of every place of every window of ``phrases`` (window, terms)."""
 
-    def shifted(rank: int, *more: str) -> DataFrame:
-        own = anchored.where(F.col("rank") == rank).select("term", "phrase", "terms", "offset")
-        return postings.join(own, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0").select("doc_id", "phrase", "start", *more)
+    def shifted(rank: int) -> DataFrame:
+        own = anchored.where(F.col("rank") == rank).select("term", "window", "offset")
+        return postings.join(own, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0").select("doc_id", "window", "start")
 
-    first = shifted(1, "terms", "since", "around")
-    second = shifted(2)
-    both = first.where("size(terms) > 1").join(second, ["doc_id", "phrase", "start"], "left_semi").unionByName(first.where("size(terms) = 1"))
-    exact = F.slice("around", F.greatest(F.col("start") - F.col("since") + 1, F.lit(1)), F.size("terms")) == F.col("terms")
-    return both.where(exact).select("doc_id", "phrase", "start", F.size("terms").alias("length")).distinct()
+    sized = phrases.select("window", "terms", F.size("terms").alias("n"))
+    single = shifted(1).join(sized.where("n = 1").select("window"), "window", "left_semi")
+    both = shifted(1).join(shifted(2), ["doc_id", "window", "start"], "left_semi").unionByName(single.select("doc_id", "window", "start"))
+    places = both.join(sized, "window").groupBy("doc_id").agg(F.collect_set(F.struct("start", "window", "terms")).alias("places"))
+    read = docs.join(places, "doc_id").select("doc_id", "places", words(F.col("text")).alias("w"))
+    exact = F.filter("places", lambda c: F.slice("w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    return read.select("doc_id", F.explode(exact).alias("c")).select("doc_id", "c.window", "c.start", F.size("c.terms").alias("length")).distinct()
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = SPAN) -> DataFrame:
     """doc_id, item_id, first, second: places of an item's two rarest distinct words at most ``within`` words apart."""
-    whole = items.select("item_id", F.array_distinct(words(F.col("text"))).alias("terms")).where("size(terms) > 1")
-    whole = store(whole.select(F.col("item_id").cast("string").alias("phrase"), "item_id", "terms"), "items")
-    anchored = store(anchors(whole.select("phrase", "terms").distinct(), term_counts(docs)).select("phrase", "rank", "term"), "anchors")
-    postings = store(index(docs, anchored.select("term").distinct(), 1).select("term", "doc_id", "pos"), "index")
-    sides = [postings.join(anchored.where(F.col("rank") == r), "term").select("doc_id", "phrase", F.col("pos").alias(name), F.floor(F.col("pos") / within).alias("cell")) for r, name in ((1, "first"), (2, "second"))]
+    whole = items.select("item_id", F.array_distinct(folded(F.col("text"))).alias("terms")).where("size(terms) > 1")
+    whole = store(whole.select(F.col("item_id").cast("string").alias("window"), "item_id", "terms"), "items")
+    anchored = store(anchors(whole.select("window", "terms").distinct(), term_counts(docs)), "anchors")
+    postings = store(index(docs, anchored.select("term").distinct()), "index")
+    sides = [postings.join(anchored.where(F.col("rank") == r).select("term", "window"), "term").select("doc_id", "window", F.col("pos").alias(name), F.floor(F.col("pos") / within).alias("cell")) for r, name in ((1, "first"), (2, "second"))]
     near = sides[1].withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    pairs = sides[0].join(near, ["doc_id", "phrase", "cell"]).where(F.abs(F.col("first") - F.col("second")) <= within)
-    return pairs.join(whole.select("phrase", "item_id").distinct(), "phrase").select("doc_id", "item_id", "first", "second").distinct()
+    pairs = sides[0].join(near, ["doc_id", "window", "cell"]).where(F.abs(F.col("first") - F.col("second")) <= within)
+    return pairs.join(whole.select("window", "item_id").distinct(), "window").select("doc_id", "item_id", "first", "second").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_hit (words in windows), item_ids (found items, sorted as strings) for each row of ``docs``."""
+    spark = docs.sparkSession
     cut = store(windows(items, span), "windows")
-    anchored = store(anchors(cut.select("phrase", "terms").distinct(), term_counts(docs)), "anchors")
-    postings = store(index(docs, anchored.select("term").distinct(), span), "index")
-    hits = store(phrase_matches(postings, anchored), "hits")
+    phrases = store(cut.select("phrase", "terms").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
+    anchored = store(anchors(phrases, term_counts(docs)), "anchors")
+    release(spark)
+    postings = store(index(docs, anchored.select("term").distinct()), "index")
+    hits = store(phrase_matches(docs.select("doc_id", "text"), postings, anchored, phrases), "hits")
+    release(spark)
     before = Window.partitionBy("doc_id").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     new = hits.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), F.coalesce(F.max(F.col("start") + F.col("length")).over(before), F.lit(0)).alias("until"))
     covered = new.groupBy("doc_id").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "until"), F.lit(0))).alias("n_hit"))
-    found = hits.select("doc_id", "phrase").distinct().join(cut.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase")
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    counted = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    named = cut.join(phrases.select("phrase", "window"), "phrase").select("window", F.col("item_id").cast("string").alias("item"))
+    found = hits.select("doc_id", "window").distinct().join(named, "window").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
     return counted.join(covered.join(found, "doc_id"), "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
