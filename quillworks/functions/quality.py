@@ -89,7 +89,7 @@ def scored(df: DataFrame, recipe: Recipe, text: str = "text") -> DataFrame:
     """
     out = df.withColumn("gate", gate(text, recipe.min_chars, recipe.max_chars))
     out = out.withColumn("__open", F.when(F.col("gate").isNull(), tx.given(text)).otherwise(F.lit("")))
-    out = tx.measured(out, "__open", "__m").withColumn("bits", tx.entropy("__open"))
+    out = tx.measured(out, "__open", "__m", barrier=True).withColumn("bits", tx.entropy("__open"))
     exact = dimensions("__m", "bits", recipe.min_chars, recipe.max_chars)
     out = out.withColumn("dims", F.when(F.col("gate").isNull(), F.struct(*(rounded(c * 10, 1).alias(k) for k, c in exact.items()))))
     total = sum((F.col(f"dims.{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0))

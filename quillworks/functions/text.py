@@ -104,11 +104,12 @@ def entropy(text: Column | str) -> Column:
     return _entropy(given(text))
 
 
-def measured(df: DataFrame, text: str = "text", to: str = "metrics") -> DataFrame:
+def measured(df: DataFrame, text: str = "text", to: str = "metrics", barrier: bool = False) -> DataFrame:
     """``df`` with a struct of all metrics in column ``to``.
 
     Sentences and words are split once, in columns of their own, which every metric then reads; of a metric that nobody asks
-    for, nothing is computed.
+    for, nothing is computed. ``barrier`` passes the struct through a generator of one row: a filter on the metrics then reads
+    them, where Spark would else push it down and evaluate each metric anew for each of its mentions.
     """
     kept = df.columns
     t = given(text)
@@ -133,7 +134,7 @@ def measured(df: DataFrame, text: str = "text", to: str = "metrics") -> DataFram
         return F.aggregate(values, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
 
     df = df.withColumns({"__a": sums(F.transform("__s5", lambda s: s["n"])), "__b": sums("__s10"), "__firsts": F.size(F.array_distinct(F.transform("__s5", lambda s: s["first"])))})
-    return df.withColumn("__long", _metrics()).select(*kept, F.col("__long").alias(to))
+    return df.select(*kept, (F.explode(F.array(_metrics())) if barrier else _metrics()).alias(to))
 
 
 def _metrics() -> Column:
