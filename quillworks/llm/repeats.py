@@ -3,9 +3,10 @@
 A byte goes if a string of ``width`` bytes that covers it also starts in a document of smaller id. Every such string holds
 an anchor: the least hash of its ``gram``-byte pieces. So two places can share a string only around a shared anchor.
 
-1. Each task hashes its documents' bytes, picks the anchors and, for each batch of texts, ships every distinct anchor once,
-   packed by bucket, with the least document that has it; whether others in the batch have it is known there.
-2. A bucket's anchors are sorted; an anchor of two documents goes back to the documents that shipped it.
+1. Each task hashes its documents' bytes, picks the anchors, and takes short hashes of the bytes to their left and right: a
+   shared string reaches half of its rest on one side. What several documents of a batch of texts share is known there,
+   and told to others once; the other anchors are shipped, packed by bucket.
+2. A bucket's anchors are sorted; those that two documents share with one side go back to the documents that shipped them.
 3. Around these anchors the context that the strings with this anchor can cover is cut out, and each distinct context
    of a batch is shipped once. A bucket's contexts of one anchor form one text; its suffix array with common prefix
    lengths is scanned with a stack for intervals of ``width`` or more, whose left extensions tell which repeats are
@@ -127,8 +128,8 @@ def common_prefix_intervals(common, least: int) -> Iterator[tuple[int, int, int]
             stack.append((int(c), first))
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, offset), ...]) of every repeat of ``least`` bytes or more that no byte extends on either side in all
+def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple]:
+    """(length, texts, offsets: an array each) of every repeat of ``least`` bytes or more that no byte extends on either side in all
     its places, with all its places. The texts hold no byte 255."""
     import numpy as np
 
@@ -139,15 +140,21 @@ def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[
     if not counts.sum():
         return
     starts = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    order, common = suffix_array(b"\xff".join(texts) + b"\xff", starts, int(sizes.max()))
+    whole = b"\xff".join(texts) + b"\xff"
+    order, common = suffix_array(whole, starts, int(sizes.max()))
     owner = np.searchsorted(ends, order, "right")
     left = ends[owner] - 1 - order
     common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))
+    # suffixes that share less with both neighbours stand in no interval
+    near = np.append(common[1:], 0) >= least
+    order, owner, common = (x[near | (common >= least)] for x in (order, owner, common))
     offset = order - begins[owner]
+    data = np.frombuffer(whole, np.uint8)
+    before = np.where(offset > 0, data[order - 1].astype(np.int64), -1 - owner)
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     for length, first, end in common_prefix_intervals(common.tolist(), least):
-        places = [*zip(owner[first:end].tolist(), offset[first:end].tolist(), strict=True)]
-        if len({texts[t][o - 1] if o else -1 - t for t, o in places}) > 1:
-            yield length, places
+        if changes[end - 1] > changes[first]:
+            yield length, owner[first:end], offset[first:end]
 
 
 def _pack(*columns) -> bytes:
@@ -170,15 +177,51 @@ def _unpack(blob: bytes, *kinds):
     return out
 
 
-def _rows(bucket, doc, kind, blob) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "doc_id", "kind", "blob"])
+def _rows(bucket, kind, blob) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
 
-#: Rows between the steps: bucket, doc_id, kind, blob.
-SHIPPED = "bucket int, doc_id long, kind byte, blob binary"
+#: Rows between the steps. What a task settles by itself goes by bucket of documents, what others must see by bucket of anchors.
+SHIPPED, SETTLED, GATHERED = "bucket int, kind byte, blob binary", "bucket int, blob binary", "doc_id long, blob binary"
 LOCAL, SENT = 0, 1
 
 
+def _settled(buckets: int, doc, *columns) -> pa.RecordBatch:
+    """Columns of 32-bit numbers, by bucket of documents."""
+    import numpy as np
+
+    parts = [(b, _pack(d, *(c.astype(np.uint32) for c in more))) for b, d, *more in _by_document(doc % buckets, doc, *columns)]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "blob"])
+
+
+def _passed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    local = np.flatnonzero(batch["kind"].to_numpy() == LOCAL)
+    if len(local):
+        kept = batch.take(pa.array(local))
+        yield pa.RecordBatch.from_arrays([kept["bucket"], kept["blob"]], ["bucket", "blob"])
+
+
+def _gather(columns: int):
+    """One row a document of all that was settled about it."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        parts = [_unpack(blob.as_py(), np.int64, *[np.uint32] * columns) for batch in batches for blob in batch["blob"]]
+        if not parts:
+            return
+        doc, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        rows = [(d, _pack(*own)) for d, *own in _by_document(doc, *more)]
+        for at in range(0, len(rows), 1000):
+            ids, blobs = zip(*rows[at : at + 1000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+
+    return gather
+
+
 def _by_document(doc, *columns):
     """(doc, columns) by document, for arrays in any order."""
     import numpy as np
@@ -189,50 +232,68 @@ def _by_document(doc, *columns):
         yield int(doc[own[0]]), *(c[own] for c in columns)
 
 
+def _pair_key(code, half, side: int):
+    """One key for an anchor and what stands on one side of it."""
+    import numpy as np
+
+    mixed = (code ^ (half.astype(np.uint64) << np.uint64(1) | np.uint64(side))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def _several(key, doc):
+    """Which rows' key stands in two documents."""
+    import numpy as np
+
+    order = np.lexsort((doc, key))
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    many = np.maximum.reduceat(doc[order], starts) > np.minimum.reduceat(doc[order], starts)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(many, np.diff(np.append(starts, len(key))))
+    return out
+
+
 def _ship_anchors(width: int, gram: int, buckets: int):
+    reach = width - gram
+    half = -(-reach // 2)
+
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, at, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((at, doc, code))
-            doc, at, code = doc[order], at[order], code[order]
-            new = np.ones(len(code), bool)
-            new[1:] = code[1:] != code[:-1]
-            run = np.cumsum(new) - 1
-            low = doc[new]
-            several = np.maximum.reduceat(doc, np.flatnonzero(new)) > low
-            here = several[run]
-            ours = (doc == low[run]) & ~here
-            first = np.flatnonzero(ours)
-            target = (code[first] % np.uint64(buckets)).astype(np.int32)
-            out = {"bucket": [], "doc": [], "kind": [], "blob": []}
-
-            def add(b, d, k, blob):
-                for name, x in zip(out, (b, d, k, blob), strict=True):
+            doc, at, code, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            target = (code % np.uint64(buckets)).astype(np.int32)
+            keys = [_pair_key(code, left, 0), _pair_key(code, right, 1)]
+            here = [_several(k, doc) for k in keys]
+            out = {"bucket": [], "kind": [], "blob": []}
+
+            def add(b, k, blob):
+                for name, x in zip(out, (b, k, blob), strict=True):
                     out[name].append(x)
 
-            for b, c, d, a in _by_document(target, code[first], doc[first], at[first]):
-                by = np.lexsort((a, d))
-                add(b, None, SENT, _pack(c[by], d[by], a[by].astype(np.uint32)))
-            # of anchors that several documents here share, one place is enough for the others elsewhere
-            lead = np.flatnonzero(new & here)
-            for b, c, d in _by_document((code[lead] % np.uint64(buckets)).astype(np.int32), code[lead], doc[lead]):
-                add(b, None, SENT + 1, _pack(c, d))
-            for d, a in _by_document(doc[here], at[here]):
-                add(d % buckets, d, LOCAL, _pack(np.sort(a).astype(np.uint32)))
+            alone = ~(here[0] | here[1])
+            for b, *columns in _by_document(target[alone], code[alone], left[alone], right[alone], doc[alone], at[alone].astype(np.uint32)):
+                add(b, SENT, _pack(*columns))
+            # what several documents here share need be told to the others but once
+            known = np.concatenate([k[h] for k, h in zip(keys, here, strict=True)])
+            _, first = np.unique(known, return_index=True)
+            for b, k in _by_document(np.concatenate([target[h] for h in here])[first], known[first]):
+                add(b, SENT + 1, _pack(k))
+            for b, d, a in _by_document(doc[~alone] % buckets, doc[~alone], at[~alone].astype(np.uint32)):
+                add(b, LOCAL, _pack(d, a))
             yield _rows(*out.values())
 
         for batch in batches:
             for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 at, code = anchors(data, width, gram)
-                if len(at):
-                    held.append((np.full(len(at), d, np.int64), at, code))
-                    size += len(data)
-                if size >= BATCH_BYTES:
+                for some in np.array_split(np.arange(len(at)), -(-len(at) // (1 << 16))) if len(at) else []:
+                    rows = contexts(data, at[some], width, gram)
+                    sides = [(row_hashes(x) >> np.uint64(48)).astype(np.uint16) for x in (rows[:, reach - half : reach + gram], rows[:, reach : reach + gram + half])]
+                    held.append((np.full(len(some), d, np.int64), at[some], code[some], *sides))
+                size += len(data)
+                if size >= BATCH_BYTES and held:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -241,37 +302,34 @@ def _ship_anchors(width: int, gram: int, buckets: int):
     return ship
 
 
-def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and the places of anchors that another document has as well."""
+def _match_anchors(buckets: int):
+    return lambda batches: _matched_anchors(buckets, batches)
+
+
+def _matched_anchors(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of anchors that another document has as well, with the same bytes on one side."""
     import numpy as np
 
-    sent, leads = [], []
+    sent, leads = [], [np.empty(0, np.uint64)]
     for batch in batches:
-        local = np.flatnonzero(batch["kind"].to_numpy() == LOCAL)
-        if len(local):
-            kept = batch.take(pa.array(local))
-            yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["blob"]], ["doc_id", "blob"])
+        yield from _passed(batch)
         for kind, blob in zip(batch["kind"].to_pylist(), batch["blob"], strict=True):
             if kind == SENT:
-                sent.append(_unpack(blob.as_py(), np.uint64, np.int64, np.uint32))
+                sent.append(_unpack(blob.as_py(), np.uint64, np.uint16, np.uint16, np.int64, np.uint32))
             elif kind == SENT + 1:
-                leads.append(_unpack(blob.as_py(), np.uint64, np.int64))
+                leads += _unpack(blob.as_py(), np.uint64)
     if not sent:
         return
-    code, doc, at = (np.concatenate(x) for x in zip(*sent, strict=True))
-    del sent
-    order = np.lexsort((doc, code))
-    code, doc, at = code[order], doc[order], at[order]
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    several = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
-    if leads:
-        several |= np.isin(code[starts], np.concatenate([x[0] for x in leads]))
-    keep = np.repeat(several, np.diff(np.append(starts, len(code))))
-    ids, blobs = [], []
-    for d, a in _by_document(doc[keep], at[keep]):
-        ids.append(d)
-        blobs.append(_pack(np.sort(a)))
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+    code, left, right, doc, at = (np.concatenate(x) for x in zip(*sent, strict=True))
+    known = np.unique(np.concatenate(leads))
+    del sent, leads
+    keep = np.zeros(len(code), bool)
+    for side, half in enumerate((left, right)):
+        key = _pair_key(code, half, side)
+        keep |= _several(key, doc)
+        if len(known):
+            keep |= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+    yield _settled(buckets, doc[keep], at[keep])
 
 
 def _ship_contexts(width: int, gram: int, buckets: int):
@@ -292,24 +350,25 @@ def _ship_contexts(width: int, gram: int, buckets: int):
             new[1:] = code[1:] != code[:-1]
             low = doc[new][np.cumsum(new) - 1]
             covered = doc > low
-            out = {"bucket": [], "doc": [], "kind": [], "blob": []}
+            out = {"bucket": [], "kind": [], "blob": []}
 
-            def add(b, d, k, blob):
-                for name, x in zip(out, (b, d, k, blob), strict=True):
+            def add(b, k, blob):
+                for name, x in zip(out, (b, k, blob), strict=True):
                     out[name].append(x)
 
             # a context that a smaller document here has: all its strings go
-            for d, a, r in _by_document(doc[covered], at[covered], rows[covered]):
-                add(d % buckets, d, LOCAL, _pack(*_covers(a, r, width, gram)))
+            whole, start, end = _covers(at[covered], rows[covered], width, gram)
+            for b, *columns in _by_document(doc[covered][whole] % buckets, doc[covered][whole], start, end):
+                add(b, LOCAL, _pack(*columns))
             first = np.flatnonzero(doc == low)
             for b, own in _by_document((anchor[first] % np.uint64(buckets)).astype(np.int32), first):
-                add(b, None, SENT, _pack(anchor[own], code[own], doc[own], at[own].astype(np.uint32), rows[own].view(f"V{span}").ravel()))
+                add(b, SENT, _pack(anchor[own], code[own], doc[own], at[own].astype(np.uint32), rows[own].view(f"V{span}").ravel()))
             yield _rows(*out.values())
 
         for batch in batches:
-            for d, text, blobs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["blobs"], strict=True):
+            for d, text, blob in zip(batch["doc_id"].to_pylist(), batch["text"], batch["blob"], strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                at = np.unique(np.concatenate([_unpack(b, np.uint32)[0] for b in blobs.as_py()])).astype(np.int64)
+                at = np.unique(_unpack(blob.as_py(), np.uint32)[0]).astype(np.int64)
                 at = at[at + gram <= len(data)]
                 for some in np.array_split(at, -(-len(at) // (1 << 16))) if len(at) else []:
                     held.append((np.full(len(some), d, np.int64), some, contexts(data, some, width, gram)))
@@ -324,30 +383,27 @@ def _ship_contexts(width: int, gram: int, buckets: int):
 
 
 def _covers(at, rows, width: int, gram: int):
-    """(from, to) of what the strings around each anchor cover, for whole contexts."""
+    """Which contexts hold a string at all, and (from, to) of what their strings cover."""
     import numpy as np
 
     reach = width - gram
     before = (rows[:, :reach] != 255).sum(1)
     after = (rows[:, reach + gram :] != 255).sum(1)
     whole = before + gram + after >= width
-    return (at - before)[whole].astype(np.uint32), (at + gram + after)[whole].astype(np.uint32)
+    return whole, (at - before)[whole].astype(np.uint32), (at + gram + after)[whole].astype(np.uint32)
 
 
-def _match_contexts(width: int, gram: int):
+def _match_contexts(width: int, gram: int, buckets: int):
     span = 2 * (width - gram) + gram
     reach = width - gram
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id and removed runs."""
+        """Removed runs."""
         import numpy as np
 
         sent = []
         for batch in batches:
-            local = np.flatnonzero(batch["kind"].to_numpy() == LOCAL)
-            if len(local):
-                kept = batch.take(pa.array(local))
-                yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["blob"]], ["doc_id", "blob"])
+            yield from _passed(batch)
             sent += [_unpack(blob.as_py(), np.uint64, np.uint64, np.int64, np.uint32, f"V{span}") for kind, blob in zip(batch["kind"].to_pylist(), batch["blob"], strict=True) if kind == SENT]
         if not sent:
             return
@@ -360,10 +416,8 @@ def _match_contexts(width: int, gram: int):
         new[1:] = (code[1:] != code[:-1]) | (anchor[1:] != anchor[:-1])
         low = doc[new][np.cumsum(new) - 1]
         covered = doc > low
-        ids, blobs = [], []
-        for d, a, r in _by_document(doc[covered], at[covered], rows[covered]):
-            ids.append(d)
-            blobs.append(_pack(*_covers(a.astype(np.int64), r, width, gram)))
+        whole, start, end = _covers(at[covered].astype(np.int64), rows[covered], width, gram)
+        yield _settled(buckets, doc[covered][whole], start, end)
         # one context of each kind, in its least document; kinds of one anchor can share strings
         kind = np.flatnonzero(new)
         twin = np.zeros(len(kind), bool)
@@ -385,18 +439,15 @@ def _match_contexts(width: int, gram: int):
             texts = [rows[i].tobytes() for i in some]
             lead = [len(t) - len(t.lstrip(b"\xff")) for t in texts]
             texts = [t.strip(b"\xff") for t in texts]
-            for length, places in maximal_repeats(texts, width):
-                least = min(doc[some[t]] for t, _ in places)
-                for t, o in places:
-                    if doc[some[t]] > least:
-                        found_doc.append(doc[some[t]])
-                        found_at.append(int(at[some[t]]) + lead[t] + o - reach)
-                        found_end.append(found_at[-1] + length)
+            own, first, lead = doc[some], at[some].astype(np.int64), np.array(lead)
+            for length, which, offset in maximal_repeats(texts, width):
+                later = own[which] > own[which].min()
+                which, offset = which[later], offset[later]
+                found_doc.append(own[which])
+                found_at.append(first[which] + lead[which] + offset - reach)
+                found_end.append(found_at[-1] + length)
         if found_doc:
-            for d, a, e in _by_document(np.array(found_doc, np.int64), np.array(found_at, np.int64), np.array(found_end, np.int64)):
-                ids.append(d)
-                blobs.append(_pack(a.astype(np.uint32), e.astype(np.uint32)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+            yield _settled(buckets, *(np.concatenate(x) for x in (found_doc, found_at, found_end)))
 
     return match
 
@@ -418,9 +469,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for text, blobs in zip(batch["text"], batch["blobs"], strict=True):
+        for text, blob in zip(batch["text"], batch["blob"], strict=True):
             data = (text.as_py() or "").encode()
-            spans = {x for blob in blobs.as_py() or () for x in zip(*(a.tolist() for a in _unpack(blob, np.uint32, np.uint32)), strict=True)}
+            spans = {*zip(*(a.tolist() for a in _unpack(blob.as_py(), np.uint32, np.uint32)), strict=True)} if blob.is_valid else ()
             kept, runs = cut(data, spans)
             for name, x in zip(out, (len(data), len(data) - len(kept), runs, kept), strict=True):
                 out[name].append(x)
@@ -434,15 +485,15 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     spark = docs.sparkSession
     texts, n = docs.select("doc_id", "text"), shuffle_width(spark)
     buckets = BUCKETS * n
-    places = texts.mapInArrow(_ship_anchors(width, gram, buckets), SHIPPED).repartition(n, "bucket").mapInArrow(_match_anchors, "doc_id long, blob binary")
-    places = store(places.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs")), "places")
+    places = texts.mapInArrow(_ship_anchors(width, gram, buckets), SHIPPED).repartition(n, "bucket").mapInArrow(_match_anchors(buckets), SETTLED)
+    places = store(places.repartition(n, "bucket").mapInArrow(_gather(1), GATHERED), "places")
     release(spark)
-    around = texts.join(places, "doc_id").mapInArrow(_ship_contexts(width, gram, buckets), SHIPPED)
-    spans = around.repartition(n, "bucket").mapInArrow(_match_contexts(width, gram), "doc_id long, blob binary")
-    spans = store(spans.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs")), "spans")
+    around = texts.join(places, "doc_id").select("doc_id", "text", "blob").mapInArrow(_ship_contexts(width, gram, buckets), SHIPPED)
+    spans = around.repartition(n, "bucket").mapInArrow(_match_contexts(width, gram, buckets), SETTLED)
+    spans = store(spans.repartition(n, "bucket").mapInArrow(_gather(2), GATHERED), "spans")
     discard(places)
     release(spark)
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "blobs").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "blob").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
