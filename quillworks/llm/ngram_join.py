@@ -2,7 +2,8 @@
 
 Shingles are 64-bit hashes. Copies of a set are one node. Of each set the join posts the first ``n - ceil(t n) + 1``
 shingles in an order all sets share: shingles that many documents hold come last (they are counted in blocks over
-all documents; at most ``HEAVY`` are ranked so, which steers cost, never results), the others by hash. Two sets over the
+all documents; at most ``HEAVY`` are ranked so,
+which steers cost, never results), the others by hash. Two sets over the
 threshold share a posting. Postings meet in tiles of shingle and size band; sizes too far apart never meet. First every
 set is tried against one leader of its postings, in ``STAR_ROUNDS`` rounds, so that a large group of near copies takes
 one pair a member; then every pair of posting partners that is not yet in one component goes on, if the bit counts of
@@ -21,15 +22,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillworks.llm.common import discard, release, shuffle_width, store
 from quillworks.llm.graph import components
 
-HEAVY = 1 << 17
+HEAVY = 1 << 19
 #: Shingles are counted in blocks of so many; a shingle is noted if a block has it in so many sets.
-HEAVY_BLOCK, HEAVY_IN_BLOCK = 1 << 21, 8
+HEAVY_BLOCK, HEAVY_IN_BLOCK = 1 << 21, 2
 STAR_ROUNDS = 2
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 2048
+#: In the star rounds a set tries a leader that shares this part of its postings; the last round has no such demand.
+STAR_SHARE = 4
 BUCKETS = 8
 
 
@@ -68,6 +72,18 @@ def set_id(shingles) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def bitmap(shingles) -> bytes:
+    """One bit for each hash of a shingle."""
+    import numpy as np
+
+    marks = np.zeros(SIGNATURE_BITS, bool)
+    marks[shingles % np.uint64(SIGNATURE_BITS)] = True
+    return np.packbits(marks).tobytes()
+
+
+SETS = ["doc_id", "n", "set", "bits", "heavy", "times"]
+
+
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -78,14 +94,15 @@ def _sets(k: int):
             values, times = np.unique(np.concatenate(block), return_counts=True)
             values, times = values[times >= HEAVY_IN_BLOCK].view(np.int64), times[times >= HEAVY_IN_BLOCK]
             none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(values), pa.array(times)], ["doc_id", "n", "set", "heavy", "times"])
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(times)], SETS)
 
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for text in batch["text"]:
                 own = shingle_set(text.as_py(), k, words_of)
                 sizes.append(len(own))
                 ids.append(set_id(own) if len(own) else None)
+                bits.append(bitmap(own) if len(own) else None)
                 if len(own) and ids[-1] not in seen:
                     seen.add(ids[-1])
                     block.append(own)
@@ -94,7 +111,7 @@ def _sets(k: int):
                     yield counted()
                     block, held, seen = [], 0, set()
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], ["doc_id", "n", "set", "heavy", "times"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), none, none], SETS)
         if block:
             yield counted()
 
@@ -114,7 +131,7 @@ def _postings(k: int, percent: int, heavy, buckets: int):
                     continue
                 seen.add(which)
                 n = len(own)
-                is_common = np.isin(own, common, assume_unique=True)
+                is_common = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(n, bool)
                 first = np.concatenate([own[~is_common], own[is_common]])[: n - (percent * n + 99) // 100 + 1]
                 keys.append(first)
                 sets.append(np.full(len(first), which, np.int64))
@@ -153,24 +170,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _arrays(k: int):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         words_of = WordHashes()
         for batch in batches:
-            sets, shingles, bits = [], [], []
+            sets, shingles = [], []
             for text in batch["text"]:
                 own = shingle_set(text.as_py(), k, words_of)
                 sets.append(set_id(own))
                 shingles.append(own.tobytes())
-                marks = np.zeros(SIGNATURE_BITS, bool)
-                marks[own % np.uint64(SIGNATURE_BITS)] = True
-                bits.append(np.packbits(marks).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(shingles, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["set", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(shingles, pa.binary())], ["set", "shingles"])
 
     return arrays
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
     import numpy as np
 
@@ -190,61 +202,78 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+@F.arrow_udf(T.LongType())
+def _apart(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Bits in which two bitmaps differ."""
+    import numpy as np
+
+    width = SIGNATURE_BITS // 8
+    x, y = (np.frombuffer(b"".join(v.as_py() for v in side), np.uint64).reshape(-1, width // 8) for side in (left, right))
+    return pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64))
+
+
 def linked_sets(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links reach, for each row of ``docs`` (doc_id, text)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    import numpy as np
+
     spark = docs.sparkSession
     width, texts = shuffle_width(spark), docs.select("doc_id", "text")
-    sets = store(texts.mapInArrow(_sets(k), "doc_id long, n long, set long, heavy long, times long"), "sets")
+    sets = store(texts.mapInArrow(_sets(k), "doc_id long, n long, set long, bits binary, heavy long, times long"), "sets")
     noted = sets.where("heavy is not null").groupBy("heavy").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "heavy").limit(HEAVY)
-    import numpy as np
-
-    heavy = spark.sparkContext.broadcast(np.array([row["heavy"] for row in noted.collect()], np.int64).view(np.uint64))
-    sets = sets.where("heavy is null").select("doc_id", "n", "set")
+    heavy = spark.sparkContext.broadcast(np.sort(noted.select("heavy").toArrow()["heavy"].to_numpy().view(np.uint64)))
+    sets = sets.where("heavy is null")
     reps = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    bits = sets.where("n > 0").select("set", "n", "bits").dropDuplicates(["set"])
 
-    buckets = BUCKETS * width
-    posted = texts.mapInArrow(_postings(k, percent, heavy, buckets), "bucket int, key long, set long, n long, hot boolean")
+    posted = texts.mapInArrow(_postings(k, percent, heavy, BUCKETS * width), "bucket int, key long, set long, n long, hot boolean")
     # A band is a little wider than the sizes that can link, so that these lie in one band or in neighbours.
     band = F.floor(F.ln("n") / F.lit(1.001 * math.log(100 / percent) if percent < 100 else 1.0)).cast("int")
     shared = store(posted.repartition(width, "bucket").drop("bucket").mapInArrow(_shared, "key long, set long, n long").distinct().withColumn("band", band), "postings")
     release(spark)
-    needed = shared.select("set").distinct().join(reps, "set").select(F.col("rep").alias("doc_id"))
-    arrays = texts.join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_arrays(k), "set long, shingles binary, bits array<long>")
-    arrays = store(arrays, "arrays")
-    release(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach the threshold: sizes, then bitmaps, then sorted arrays."""
+        left, right = (bits.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab")
+        most = (F.col("na") + F.col("nb") - _apart("xa", "xb")) / 2
+        sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+        close = store(pairs.join(left, "a").join(right, "b").where(sized).select("a", "b"), "pairs")
+        needed = close.select(F.col("a").alias("set")).union(close.select("b")).distinct().join(reps, "set").select(F.col("rep").alias("doc_id"))
+        arrays = store(texts.join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_arrays(k), "set long, shingles binary"), "arrays")
+        release(spark)
+        found = store(_verified(close, arrays, percent), "links")
+        discard(arrays)
+        release(spark)
+        return found
 
     edges = labels = None
     for turn in range(STAR_ROUNDS):
-        ranked = F.struct(F.xxhash64("set", F.lit(turn)).alias("rank"), "set")
-        mine = shared if labels is None else shared.join(labels, shared.set == labels.node, "left").select(shared["*"], F.coalesce("label", "set").alias("label"))
         if labels is None:
-            mine = mine.withColumn("label", F.col("set"))
-        leaders = mine.groupBy("key", "band").agg(F.min(F.struct(ranked.alias("r"), "label")).alias("top")).select("key", "band", F.col("top.r.set").alias("leader"), F.col("top.label").alias("its"))
-        tried = mine.join(leaders, ["key", "band"]).where("label != its").groupBy("set", "leader").agg(F.count("*").alias("times"))
-        pairs = tried.groupBy(F.col("set").alias("a")).agg(F.max_by("leader", F.struct("times", "leader")).alias("b"))
-        found = store(_verified(pairs, arrays, percent), "links")
+            mine = shared.withColumn("label", F.col("set"))
+        else:
+            mine = shared.join(labels, shared.set == labels.node, "left").select(shared["*"], F.coalesce("label", "set").alias("label"))
+        rank = F.xxhash64("set", F.lit(turn))
+        leaders = mine.groupBy("key", "band").agg(F.min(F.struct(rank.alias("r"), "set", "label")).alias("top")).select("key", "band", F.col("top.set").alias("leader"), F.col("top.label").alias("its"))
+        tried = mine.join(leaders, ["key", "band"]).where("label != its").groupBy("set", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+        tried = tried.where(f"{100 * STAR_SHARE} * times >= {100 - percent} * n")
+        found = verified(tried.groupBy(F.col("set").alias("a")).agg(F.max_by("leader", F.struct("times", "leader")).alias("b")))
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
 
     # What is left: partners of different components, the smaller set on the left, in its own tile and the next.
     own = shared.join(labels, shared.set == labels.node, "left").select("key", "set", "n", "band", F.coalesce("label", "set").alias("label"))
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    own = own.join(mixed, "key").join(arrays.select("set", "bits"), "set")
-    left = own.select("key", F.col("band").alias("tile"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("bits").alias("xa"))
-    right = own.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("bits").alias("xb"))
-    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(SIGNATURE_BITS // 64))
-    close = f"la != lb and (na < nb or na = nb and a < b) and 100 * na >= {percent} * nb and (100 + {percent}) * ((na + nb - ({apart})) div 2) >= {percent} * (na + nb)"
-    pairs = left.join(right, ["key", "tile"]).where(close).select("a", "b").distinct()
-    links = edges.union(store(_verified(pairs, arrays, percent), "links"))
-    labels = components(links)
+    own = own.join(mixed, "key")
+    left = own.select("key", F.col("band").alias("tile"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = own.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = left.join(right, ["key", "tile"]).where(f"la != lb and (na < nb or na = nb and a < b) and 100 * na >= {percent} * nb").select("a", "b").distinct()
+    labels = components(edges.union(verified(pairs)))
 
     of_set = reps.join(labels, reps.set == labels.node, "left").select("set", "rep", F.coalesce("label", "set").alias("label"))
     of_label = of_set.groupBy("label").agg(F.min("rep").alias("component"))
     of_set = of_set.join(of_label, "label").select(F.col("set").alias("of"), "component")
-    out = sets.join(of_set, sets.set == F.col("of"), "left")
-    discard(arrays)
+    out = sets.select("doc_id", "n", "set").join(of_set, sets.set == F.col("of"), "left")
     release(spark)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
