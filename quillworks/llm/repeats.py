@@ -420,6 +420,8 @@ def _match_contexts(width: int, gram: int, buckets: int):
         yield _settled(buckets, doc[covered][whole], start, end)
         # one context of each kind, in its least document; kinds of one anchor can share strings
         kind = np.flatnonzero(new)
+        places = np.zeros(len(code), np.int64)  # of the kind in that document: these rows follow the first
+        places[kind] = np.add.reduceat((~covered).astype(np.int64), kind)
         twin = np.zeros(len(kind), bool)
         same = anchor[kind][1:] == anchor[kind][:-1]
         twin[1:] |= same
@@ -434,18 +436,25 @@ def _match_contexts(width: int, gram: int, buckets: int):
         kind = kind[near]
         found_doc, found_at, found_end = [], [], []
         cuts = np.flatnonzero(anchor[kind][1:] != anchor[kind][:-1]) + 1
-        cuts = [c for c, d in zip(cuts, np.append(cuts[1:], len(kind)), strict=True) if c // TEXTS_AT_ONCE != d // TEXTS_AT_ONCE]  # an anchor's contexts stay together
+        cuts = [c for c, d in zip(cuts, np.append(cuts, len(kind))[1:], strict=True) if c // TEXTS_AT_ONCE != d // TEXTS_AT_ONCE]  # an anchor's contexts stay together
         for some in np.split(kind, cuts):
             texts = [rows[i].tobytes() for i in some]
             lead = [len(t) - len(t.lstrip(b"\xff")) for t in texts]
             texts = [t.strip(b"\xff") for t in texts]
-            own, first, lead = doc[some], at[some].astype(np.int64), np.array(lead)
+            own, lead = doc[some], np.array(lead)
+            # every string of a context holds its anchor, so what goes of it is one run
+            begin, end = np.full(len(some), span), np.zeros(len(some), np.int64)
             for length, which, offset in maximal_repeats(texts, width):
                 later = own[which] > own[which].min()
-                which, offset = which[later], offset[later]
-                found_doc.append(own[which])
-                found_at.append(first[which] + lead[which] + offset - reach)
-                found_end.append(found_at[-1] + length)
+                which, offset = which[later], offset[later] + lead[which[later]]
+                np.minimum.at(begin, which, offset)
+                np.maximum.at(end, which, offset + length)
+            hit = np.flatnonzero(end)
+            times = places[some[hit]]
+            every = np.repeat(some[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            found_doc.append(doc[every])
+            found_at.append(at[every].astype(np.int64) - reach + np.repeat(begin[hit], times))
+            found_end.append(at[every].astype(np.int64) - reach + np.repeat(end[hit], times))
         if found_doc:
             yield _settled(buckets, *(np.concatenate(x) for x in (found_doc, found_at, found_end)))
 

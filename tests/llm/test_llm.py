@@ -100,6 +100,17 @@ def test_repeats(docs, plain, nothing):
     assert repeats.digests(nothing).count() == 0
 
 
+def test_repeats_within_the_later_document(spark):
+    """A passage stands twice in the later document, between equal neighbours: both places go."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    p, q, a, b, c, d = letters(64), letters(300), letters(40), letters(40), letters(40), letters(40)
+    texts = [(1, letters(60) + p + letters(60) + q + letters(50)), (2, a + p + b + letters(30) + a + p + b), (3, c + q + d + letters(90) + c + q + d + c + q + d)]
+    own, _ = by_id(repeats.digests(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in own.items()} == brute.without_repeats(texts)
+    assert own[2]["n_spans"] == 2 and own[3]["n_spans"] == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=4), st.integers(2, 6))
 def test_maximal_repeats(texts, least):
