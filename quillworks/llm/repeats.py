@@ -4,8 +4,8 @@ A byte goes if a string of ``width`` bytes that covers it also starts in a docum
 an anchor: the least hash of its ``gram``-byte pieces. So two places can share a string only around a shared anchor.
 
 1. Each task hashes its documents' bytes, picks the anchors, and takes short hashes of the bytes to their left and right: a
-   shared string reaches half of its rest on one side. What several documents of a batch of texts share is known there,
-   and told to others once; the other anchors are shipped, packed by bucket.
+   shared string reaches half of its rest on one side. Anchors that several documents of a batch of texts share on a side
+   stay there, and both their sides are told to others once; the other anchors are shipped, packed by bucket.
 2. A bucket's anchors are sorted; those that two documents share with one side go back to the documents that shipped them.
 3. Around these anchors the context that the strings with this anchor can cover is cut out, and each distinct context
    of a batch is shipped once. A bucket's contexts of one anchor form one text; its suffix array with common prefix
@@ -275,10 +275,9 @@ def _ship_anchors(width: int, gram: int, buckets: int):
             alone = ~(here[0] | here[1])
             for b, *columns in _by_document(target[alone], code[alone], left[alone], right[alone], doc[alone], at[alone].astype(np.uint32)):
                 add(b, SENT, _pack(*columns))
-            # what several documents here share need be told to the others but once
-            known = np.concatenate([k[h] for k, h in zip(keys, here, strict=True)])
-            _, first = np.unique(known, return_index=True)
-            for b, k in _by_document(np.concatenate([target[h] for h in here])[first], known[first]):
+            # of places that stay here, both sides are told to the others: each may be what a place elsewhere shares
+            known, first = np.unique(np.concatenate([k[~alone] for k in keys]), return_index=True)
+            for b, k in _by_document(np.tile(target[~alone], 2)[first], known):
                 add(b, SENT + 1, _pack(k))
             for b, d, a in _by_document(doc[~alone] % buckets, doc[~alone], at[~alone].astype(np.uint32)):
                 add(b, LOCAL, _pack(d, a))

@@ -111,6 +111,28 @@ def test_repeats_within_the_later_document(spark):
     assert own[2]["n_spans"] == 2 and own[3]["n_spans"] == 3
 
 
+def test_anchors_link_over_batches(monkeypatch):
+    """Two documents of a batch share what stands left of an anchor; one in another batch shares what stands right of it with the first."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    r = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2000))
+    places = lambda text: {*repeats.anchors(np.frombuffer(text.encode(), np.uint8))[0].tolist()}
+    tried = 0
+    for at in sorted(places(r)):
+        d, s = r[: at + 22] + "#" + r[at + 23 :], r[: at - 3] + "#" + r[at - 2 :]
+        if not 50 < at < 1900 or at not in places(d) & places(s):
+            continue
+        tried += 1
+        monkeypatch.setattr(repeats, "BATCH_BYTES", 4000)
+        shipped = [*repeats._ship_anchors(50, 20, 1)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [r, d, s]})]))]
+        assert len(shipped) == 2
+        settled = [repeats._unpack(b.as_py(), np.int64, np.uint32) for out in repeats._matched_anchors(1, iter(shipped)) for b in out["blob"]]
+        assert {(i, at) for i in (1, 2, 3)} <= {*zip(*(np.concatenate(x).tolist() for x in zip(*settled, strict=True)), strict=True)}
+    assert tried > 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=4), st.integers(2, 6))
 def test_maximal_repeats(texts, least):
