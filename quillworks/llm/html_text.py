@@ -29,8 +29,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CHROME = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINERS = {"article", "main", "div", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "body", "html", "head", "blockquote", "dialog", "menu", "figure", "td", "li", "p"}
-#: Class, id and role words of parts that are not the article.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Class and id names and roles, whole, of parts that are not the article: one of these words, or made of them and of words for parts alone.
+_HEADS = r"banner|header|breadcrumbs?"
+_NOISE = r"ads?|advert\w*|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
+_PARTS = r"area|bar|box|buttons?|container|icons?|inner|links?|list|posts?|section|slot|unit|wrap|wrapper"
+NOISE = re.compile(rf"(?:site[_-])?(?:{_NOISE}|{_HEADS})(?:[_-](?:{_NOISE}|{_HEADS}|{_PARTS}))*", re.I)
+#: Inside an article these hold its title.
+HEADS = re.compile(rf"(?:{_HEADS})(?:[_-](?:{_HEADS}|{_PARTS}))*", re.I)
+#: Names never tell of the whole page or article; only hidden ones are chrome.
+WHOLE = {"html", "body", "main", "article"}
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-zA-Z][^<>]*$", re.S)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
@@ -40,13 +47,14 @@ ARTICLE, CHROMED, OTHER = 2, 0, 1
 BITS = 1 << 26
 
 
-def _noisy(attributes: str) -> bool:
-    for name, *values in MARKS.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
-            return True
-        if name.lower() in ("class", "id", "role") and NOISE.search(value):
+def _noisy(name: str, attributes: str, in_article: bool) -> bool:
+    for key, *values in MARKS.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
+        if key in ("class", "id", "role") and name not in WHOLE:
+            if any(NOISE.fullmatch(x) and not (in_article and HEADS.fullmatch(x)) for x in value.split()):
+                return True
     return False
 
 
@@ -81,7 +89,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if name == "br":
             parts.append(" ")
-        elif name in INLINE and not (m[3] and not m[1] and _noisy(m[3])):
+        elif name in INLINE and not (m[3] and not m[1] and _noisy(name, m[3], bool(stack) and stack[-1][2])):
             if m[1] and any(x[0] == name for x in stack):
                 _pop(stack, name, close_line)
         elif name in RAW and not m[1]:
@@ -97,7 +105,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
                 if stack and stack[-1][0] == name:
                     stack.pop()
             above = stack[-1] if stack else ("", False, False)
-            chrome = above[1] or (name in CHROME and not (name == "header" and above[2])) or _noisy(m[3])
+            chrome = above[1] or (name in CHROME and not (name == "header" and above[2])) or _noisy(name, m[3], above[2])
             if name in CONTAINERS or name in CHROME or chrome != above[1]:
                 stack.append((name, chrome, above[2] or name in ("article", "main")))
         else:

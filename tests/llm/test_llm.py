@@ -224,6 +224,21 @@ def test_html(spark, page, text):
     assert row["text"] == text and row["n_chars"] == len(text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="page no-sidebar has-navbar"><div class="layout-sidebar-right share-enabled"><p>story</p></div></body>', "story"),
+        ('<html class="cookies"><body id="menu"><main class="related"><p>story</p></main></body></html>', "story"),
+        ('<article class="post comments-open share"><div class="entry-header"><h1>Title</h1></div><p>story</p></article>', "Title story"),
+        ('<article><div class="header"><h1>Title</h1></div><p>story</p><div class="share-buttons">share</div><p class="x ad">buy</p></article>', "Title story"),
+        ('<div class="site-header">host</div><p>story</p><div id="sidebar">side</div><div class="cookie-banner">ok</div><div role="navigation">go</div>', "story"),
+        ('<body hidden><p>story</p></body>', ""),
+    ],
+)
+def test_names_of_noise(page, text):
+    assert html_text.main_text(html_text.page_lines(page), None) == text
+
+
 def test_page_differencing(spark):
     shared = "<div>Welcome to our site</div>%s<div>All rights reserved by us</div>"
     pages = [(1, "http://h/a/1", shared % "<p>first story</p>"), (2, "http://h/a/2", shared % "<p>second story</p>"), (3, "http://other/a/1", shared % "<p>third</p>"), (4, None, "<p>x</p>")]
