@@ -3,23 +3,27 @@
 A page becomes text lines, one a block, each marked by where it stands: in the article (or main) element, in a part that
 is never text (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers), or elsewhere. Pages are
 ordered by host and URL path; each is paired with the neighbour on its host that shares the longer path prefix (the one
-before, if equal). The two pages' lines are aligned by their longest common subsequence, and shared lines go, but lines
+before, if equal). Pages of its own path, and pages with the same lines, are passed over: they are captures or copies of it. The two pages' lines are aligned by their longest common subsequence, and shared lines go, but lines
 inside an article element stay: copies of an article under two URLs would else delete each other. Pages with an article
 give its lines alone.
 
-The order is dealt out by ranges, so a host of any size is spread; the first page of a range takes the page after it. Null and
-empty pages have no text. Repeated rows are pages of their own.
+The order is dealt out by ranges, so a host of any size is spread. Pages at the ends of a range, and those that they can be paired
+with, meet the ends of the host's other ranges in a second step: the pairing does not depend on the ranges. Null and empty pages have no text. Repeated rows are pages of their own.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillworks.llm.common import shuffle_width
 
@@ -209,39 +213,175 @@ def _shared_prefix(a: str, b: str) -> int:
     return n
 
 
+class Page:
+    """A page in the order of its host's paths."""
+
+    __slots__ = ("after", "before", "host", "lines", "open", "page_id", "path", "texts", "url")
+
+    def __init__(self, page_id, url, host, path, lines, open=True) -> None:
+        self.page_id, self.url, self.host, self.path, self.lines, self.open = page_id, url, host, path, lines, open
+        self.texts = [t for t, _ in lines]
+        self.before = self.after = None
+
+    def differs(self, other: Page) -> bool:
+        return self.path != other.path and self.texts != other.texts
+
+
+class Latest:
+    """The pages of a host that can be the nearest different one of a page to come: of all pages and of those before the present
+    path, the latest one and the latest with other lines than that."""
+
+    def __init__(self) -> None:
+        self.all: list[Page] = []
+        self.past: list[Page] = []
+
+    def add(self, page: Page) -> None:
+        if self.all and self.all[0].path != page.path:
+            self.past = self.all
+        self.all = [page, *[x for x in self.all if x.texts != page.texts][:1]]
+
+    def near(self, page: Page) -> Page | None:
+        known = self.past if self.all and self.all[0].path == page.path else self.all
+        return next((x for x in known if x.texts != page.texts), None)
+
+
+def paired(pages: Iterable[Page]) -> Iterator[Page]:
+    """``pages``, ordered by host and path, each with the nearest different page of its host before and after it."""
+    latest, host = Latest(), None
+    #: Pages that wait for the one after them: those of the present path, and those of earlier paths, which all have equal lines.
+    here: list[Page] = []
+    alike: list[Page] = []
+    for page in pages:
+        if page.host != host:
+            yield from alike
+            yield from here
+            latest, host, here, alike = Latest(), page.host, [], []
+        if here and here[0].path != page.path:
+            alike, here = alike + here, []
+        if alike:
+            waiting = []
+            for x in alike:
+                if x.differs(page):
+                    x.after = page
+                    yield x
+                else:
+                    waiting.append(x)
+            alike = waiting
+        page.before = latest.near(page)
+        latest.add(page)
+        here.append(page)
+    yield from alike
+    yield from here
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
+    for batch in batches:
+        for r in zip(*(batch[c] for c in ("page_id", "url", "host", "path", "html")), strict=True):
+            *keys, page = (x.as_py() for x in r)
+            yield Page(*keys, page_lines(page))
+
+
+def _text(page: Page) -> str:
+    near = [x for x in (page.before, page.after) if x is not None]
+    beside = max(near, key=lambda x: _shared_prefix(x.path, page.path), default=None)
+    return main_text(page.lines, beside and beside.texts)
+
+
+def _packed(texts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    texts = iter(texts)
+    while done := list(islice(texts, 500)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "url", "text"])
+
+
+def _cut_off(pages: Iterable[Page]) -> Iterator[tuple[Page, bool]]:
+    """The pages of a range in pairs, each with whether a page of another range can be its nearest: none is known on one side, and
+    its host is the range's first or last. The host of the last pages is known only at the end."""
+    held, first = [], None
+    for page in paired(pages):
+        first = page if first is None else first
+        if held and held[0].host != page.host:
+            for x in held:
+                yield x, x.before is None and x.host == first.host
+            held = []
+        if page.after is None:
+            held.append(page)
+        else:
+            yield page, page.before is None and page.host == first.host
+    for x in held:
+        yield x, True
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
+    """The text of all pages whose neighbours are in their own range."""
+    yield from _packed((x.page_id, x.url, _text(x)) for x, open in _cut_off(_pages(batches)) if not open)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other pages, with those that they or pages of other ranges can be paired with: the nearest at both ends of the range."""
+    opened: list[Page] = []
+    ahead: dict = {}  # the first pages of the range that an earlier one can be paired with
+    behind, host = Latest(), None
+    first: list[Page] = []
+
+    def seen() -> Iterator[Page]:
+        nonlocal behind, host
+        for x in _pages(batches):
+            if x.host != host:
+                behind, host = Latest(), x.host
+            behind.add(x)
+            # the first page, the first with other lines, and the same of the paths after the first
+            if not first or x.host == first[0].host:
+                for later in (False, True) if not first or x.path != first[0].path else (False,):
+                    if later and not first:
+                        continue
+                    own = ahead.setdefault(later, [])
+                    if len(own) < 2 and all(y.texts != x.texts for y in own):
+                        own.append(x)
+            if not first:
+                first.append(x)
+            yield x
+
+    for x, open in _cut_off(seen()):
+        if open:
+            opened.append(x)
+    is_open = {id(x) for x in opened}
+    rows = {id(x): x for x in [*opened, *(y for x in opened for y in (x.before, x.after) if y is not None), *(y for own in ahead.values() for y in own), *behind.all, *behind.past]}
+    for x in rows.values():
+        values = (x.page_id, x.url, x.host, x.path, id(x) in is_open, json.dumps(x.lines))
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)], ["page_id", "url", "host", "path", "open", "lines"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the open pages among the edges of a host's ranges."""
+
+    def pages() -> Iterator[Page]:
         for batch in batches:
-            for r in zip(*(batch[c] for c in ("page_id", "url", "host", "path", "html")), strict=True):
-                page_id, url, host, path, page = (x.as_py() for x in r)
-                yield page_id, url, host, path, page_lines(page)
-
-    def finished(row, before, after) -> tuple:
-        near = [x for x in (before, after) if x is not None and x[2] == row[2]]
-        beside = max(near, key=lambda x: _shared_prefix(x[3], row[3]), default=None)
-        return row[0], row[1], main_text(row[4], beside and [t for t, _ in beside[4]])
-
-    def pack(done: list) -> pa.RecordBatch:
-        ids, urls, texts = zip(*done, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    before = current = None
-    done: list = []
-    for row in rows():
-        if current is not None:
-            done.append(finished(current, before, row))
-        before, current = current, row
-        if len(done) >= 500:
-            yield pack(done)
-            done = []
-    if current is not None:
-        done.append(finished(current, before, None))
-    if done:
-        yield pack(done)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+            for r in batch.to_pylist():
+                yield Page(r["page_id"], r["url"], r["host"], r["path"], [(t, m) for t, m in json.loads(r["lines"])], r["open"])
+
+    yield from _packed((x.page_id, x.url, _text(x)) for x in paired(pages()) if x.open)
+
+
+def _ranges(keyed: DataFrame, n: int):
+    """A column with the range, of ``n``, of host, path and page_id. Its bounds are fixed here, so that it is the same in all uses."""
+    keys = keyed.select("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
+    some = sorted(tuple(r) for r in keys.sample(min(1.0, 40 * n / max(1, keyed.count())), seed=7).collect())
+    bounds = [some[len(some) * i // n] for i in range(1, n)] if some else []
+
+    @F.arrow_udf(T.IntegerType())
+    def place(host: pa.Array, path: pa.Array, page_id: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, k) for k in zip(host.to_pylist(), path.to_pylist(), page_id.to_pylist(), strict=True)], pa.int32())
+
+    return place("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))))
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
+    n = shuffle_width(pages.sparkSession)
     keyed = pages.select("page_id", "url", url_host().alias("host"), url_path().alias("path"), "html")
-    ordered = keyed.repartitionByRange(shuffle_width(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-    return ordered.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    dealt = keyed.withColumn("range", _ranges(keyed.drop("html"), ranges or n)).repartitionById(ranges or n, "range")
+    ordered = dealt.sortWithinPartitions("host", "path", "page_id", "url").drop("range")
+    edges = ordered.mapInArrow(_edges, "page_id long, url string, host string, path string, open boolean, lines string")
+    joined = edges.repartition(n, "host").sortWithinPartitions("host", "path", "page_id", "url")
+    kind = "page_id long, url string, text string"
+    return ordered.mapInArrow(_extract, kind).union(joined.mapInArrow(_joined, kind)).withColumn("n_chars", F.length("text").cast("long"))

@@ -248,6 +248,39 @@ def test_page_differencing(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_and_captures_are_no_neighbours(spark):
+    page = "<div>Welcome</div><p>%s</p><div>All rights reserved</div>"
+    pages = [(1, "http://h/x", page % "one"), (2, "https://h/x?utm_source=feed", page % "one"), (3, "http://h/x.html", page % "one, changed"), (4, "http://h/y", page % "one"), (5, "http://h/z", page % "two")]
+    pages += [(6, "http://alone/x", page % "one"), (7, "http://alone/x/", page % "one")]
+    for ranges in (1, 2, 7):
+        out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), ranges).collect()}
+        assert out == {1: "one", 2: "one", 3: "one, changed", 4: "one", 5: "two"} | dict.fromkeys((6, 7), "Welcome one All rights reserved")
+
+
+def test_pairing_does_not_depend_on_ranges():
+    """Each page against a search of all pages, and the same pages cut into ranges at random."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = sorted((rng.choice("gh"), rng.choice("abcd"), i, "".join(f"<p>{x}</p>" for x in rng.choice(["k", "kl", "klm", "n"]))) for i in range(rng.randint(1, 14)))
+        want = {}
+        for i, (host, path, own, page) in enumerate(rows):
+            others = [j for j, (h, p, _, x) in enumerate(rows) if h == host and p != path and x != page]
+            near = [rows[j] for j in (max((j for j in others if j < i), default=-1), min((j for j in others if j > i), default=-1)) if j >= 0]
+            lines = html_text.page_lines(page)
+            want[own] = html_text.main_text(lines, near and [t for t, _ in html_text.page_lines(near[0][3])])
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=3))
+        got, edges = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            batch = pa.RecordBatch.from_pylist([{"page_id": i, "url": "", "host": h, "path": p, "html": x} for h, p, i, x in rows[a:b]], pa.schema({"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "path": pa.string(), "html": pa.string()}))
+            got += [r for x in html_text._extract(iter([batch])) for r in x.to_pylist()]
+            edges += [r for x in html_text._edges(iter([batch])) for r in x.to_pylist()]
+        edges.sort(key=lambda r: (r["host"], r["path"], r["page_id"]))
+        got += [r for x in html_text._joined(iter([pa.RecordBatch.from_pylist(edges)])) for r in x.to_pylist()]
+        assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14), st.booleans())
 def test_common_lines(a, b, halve):
