@@ -80,15 +80,30 @@ def phrase_matches(docs: DataFrame, postings: DataFrame, anchored: DataFrame, ph
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = SPAN) -> DataFrame:
-    """doc_id, item_id, first, second: places of an item's two rarest distinct words at most ``within`` words apart."""
-    whole = items.select("item_id", F.array_distinct(folded(F.col("text"))).alias("terms")).where("size(terms) > 1")
-    whole = store(whole.select(F.col("item_id").cast("string").alias("window"), "item_id", "terms"), "items")
-    anchored = store(anchors(whole.select("window", "terms").distinct(), term_counts(docs)), "anchors")
+    """doc_id, item_id, first, second: places of an item's two rarest distinct words in a stretch of a document that holds all its
+    words, in any order. Words that no document has do not count; two at least must be left. The stretch's ends are at most
+    ``within`` words apart, or as many as the item's own."""
+    words_of = folded(F.col("text"))
+    reach = F.greatest(F.lit(within), F.size(words_of) - 1)
+    whole = items.select("item_id", F.array_distinct(words_of).alias("terms"), reach.alias("reach")).where("size(terms) > 1")
+    whole = store(whole.withColumn("window", F.monotonically_increasing_id()), "items")
+    counts = term_counts(docs)
+    present = whole.select("window", F.explode("terms").alias("term")).join(counts, "term").groupBy("window").agg(F.collect_list("term").alias("terms"))
+    whole = store(whole.drop("terms").join(present.where("size(terms) > 1"), "window"), "known")
+    anchored = store(anchors(whole.select("window", "terms"), counts).join(whole.select("window", "reach"), "window"), "anchors")
     postings = store(index(docs, anchored.select("term").distinct()), "index")
-    sides = [postings.join(anchored.where(F.col("rank") == r).select("term", "window"), "term").select("doc_id", "window", F.col("pos").alias(name), F.floor(F.col("pos") / within).alias("cell")) for r, name in ((1, "first"), (2, "second"))]
-    near = sides[1].withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    pairs = sides[0].join(near, ["doc_id", "window", "cell"]).where(F.abs(F.col("first") - F.col("second")) <= within)
-    return pairs.join(whole.select("window", "item_id").distinct(), "window").select("doc_id", "item_id", "first", "second").distinct()
+    sides = [postings.join(anchored.where(F.col("rank") == r).select("term", "window", "reach"), "term").select("doc_id", "window", "reach", F.col("pos").alias(name), F.floor(F.col("pos") / F.col("reach")).alias("cell")) for r, name in ((1, "first"), (2, "second"))]
+    near = sides[1].drop("reach").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    pairs = sides[0].join(near, ["doc_id", "window", "cell"]).where(F.abs(F.col("first") - F.col("second")) <= F.col("reach"))
+    read = docs.select("doc_id", words_of.alias("w")).dropDuplicates().join(pairs.join(whole.select("window", "item_id", "terms"), "window"), "doc_id")
+    low, high = F.least("first", "second"), F.greatest("first", "second")
+    since = F.greatest(high - F.col("reach"), F.lit(0))
+
+    def holds(start, length):
+        return F.size(F.array_except("terms", F.slice("w", (start + 1).cast("int"), length.cast("int")))) == 0
+
+    around = holds(since, low + F.col("reach") - since + 1)
+    return read.where(around).where(F.exists(F.sequence(since, low), lambda s: holds(s, F.col("reach") + 1))).select("doc_id", "item_id", "first", "second").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:

@@ -320,6 +320,15 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} <= {(1, 7), (2, 7)}
 
 
+def test_proximity_is_exact(spark):
+    texts = ["alpha x x beta", "alpha " + "x " * 20 + "beta", None, "gamma y alpha z beta", "alpha beta " + "x " * 15 + "gamma", "beta " + "x " * 8 + "gamma " + "x " * 8 + "alpha gamma", "GAMMA beta q q q q q q q q alpha"]
+    docs = spark.createDataFrame([*enumerate(texts, 1)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "beta of alpha"), (8, "alpha beta gamma"), (9, "alpha nowhere"), (7, "twice given"), (10, None), (11, "beta " + "unknown " * 17 + "alpha")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.proximity_matches(docs, items, 10).collect()}
+    # 2: 21 words apart; 5 and 6: never all three in one stretch; 11 is as long as 18 words
+    assert found == {(1, 7), (4, 7), (5, 7), (7, 7), (4, 8), (7, 8), (1, 11), (4, 11), (5, 11), (6, 11), (7, 11)}
+
+
 # 7
 
 
