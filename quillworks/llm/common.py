@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def with_own_ids(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` of ``docs``, where each row without doc_id is a document of its own, above all ids; its doc_id is null again in
+    what ``step`` returns."""
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return step(docs)
+    top = docs.agg(F.max("doc_id")).first()[0]
+    top, kind = -1 if top is None else top, docs.schema["doc_id"].dataType
+    # stored, as the numbers are not the same in each reading
+    named = store(nameless.withColumn("doc_id", (F.lit(top) + 1 + F.monotonically_increasing_id()).cast(kind)), "nameless")
+    return step(docs.where("doc_id is not null").unionByName(named)).withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ with its second list; what is left is compared with the document's words.
 Counts and index fold case by the engine's own lower(), which is fast and folds more than A-Z: it finds all that the
 exact words find, and the comparison is by those.
 
-Null texts have no words, null items no windows. doc_id names a document; repeated rows get the same figures each. An item of
+Null texts have no words, null items no windows. doc_id names a document; repeated rows get the same figures each. A row without
+doc_id has no hits in the report, as in its SQL; drop_contaminated judges it all the same. An item of
 fewer words than a window is one window.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillworks.llm.common import ascii_lower, release, store
+from quillworks.llm.common import ascii_lower, release, store, with_own_ids
 
 SPAN = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,5 +136,9 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with their own columns."""
-    return docs.join(contamination(docs.select("doc_id", "text"), items).where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no window of an item, with their own columns. Rows without doc_id are judged each by itself."""
+
+    def clean(named: DataFrame) -> DataFrame:
+        return named.join(contamination(named.select("doc_id", "text"), items).where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*named.columns)
+
+    return with_own_ids(docs, clean)

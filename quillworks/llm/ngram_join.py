@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillworks.llm.common import discard, release, shuffle_width, store
+from quillworks.llm.common import discard, release, shuffle_width, store, with_own_ids
 from quillworks.llm.graph import components
 
 HEAVY = 1 << 19
@@ -279,6 +279,11 @@ def linked_sets(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group of linked documents, with its own columns: that of the least doc_id."""
-    kept = linked_sets(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of ``docs`` for each group of linked documents, with its own columns: that of the least doc_id. Rows without doc_id
+    are documents of their own, after all others: one stays if it links to none before it."""
+
+    def least(named: DataFrame) -> DataFrame:
+        kept = linked_sets(named, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+        return named.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*named.columns)
+
+    return with_own_ids(docs, least)

@@ -8,7 +8,7 @@ classifier is trained on votes and on the span's shape, again over counts. Its v
 base candidates that failed a check; base spans that pass their checks always stay.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. doc_id names a document; repeated rows get the
-same spans each.
+same spans each. Rows without doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillworks.llm.common import store
+from quillworks.llm.common import store, with_own_ids
 
 #: The base patterns, in the order in which spans of one start are listed. Each run starts only where a match
 #: can (at its own left edge, or where the last match ended) and never gives back, which changes no match but keeps long runs linear.
@@ -237,6 +237,10 @@ def _listed(spans):
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans, for each row of ``docs``."""
+    return with_own_ids(docs, _report)
+
+
+def _report(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>")
     found = docs.select("doc_id").join(spans_of_documents(docs), "doc_id", "left").select("doc_id", F.coalesce("spans", none).alias("spans"), F.coalesce("base", none).alias("base"))
     kinds = F.transform("base", lambda x: x["kind"])
@@ -246,6 +250,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and n_chars counted again; other columns as they are."""
+    return with_own_ids(docs, _redact)
+
+
+def _redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, x):

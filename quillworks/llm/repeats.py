@@ -14,6 +14,7 @@ an anchor: the least hash of its ``gram``-byte pieces. So two places can share a
 4. Runs come back to their documents and are cut out.
 
 Null and empty texts have no bytes. Rows that repeat a doc_id count as one document: they never remove each other's bytes.
+Rows without doc_id keep all bytes and remove none, as in the SQL.
 Anchors and contexts are told apart by 64-bit hashes.
 """
 
@@ -493,7 +494,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     spark = docs.sparkSession
     texts, n = docs.select("doc_id", "text"), shuffle_width(spark)
     buckets = BUCKETS * n
-    places = texts.mapInArrow(_ship_anchors(width, gram, buckets), SHIPPED).repartition(n, "bucket").mapInArrow(_match_anchors(buckets), SETTLED)
+    places = texts.where("doc_id is not null").mapInArrow(_ship_anchors(width, gram, buckets), SHIPPED).repartition(n, "bucket").mapInArrow(_match_anchors(buckets), SETTLED)
     places = store(places.repartition(n, "bucket").mapInArrow(_gather(1), GATHERED), "places")
     release(spark)
     around = texts.join(places, "doc_id").select("doc_id", "text", "blob").mapInArrow(_ship_contexts(width, gram, buckets), SHIPPED)

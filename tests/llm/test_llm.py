@@ -495,3 +495,24 @@ def test_pipeline(spark, docs, items, tmp_path):
     out = {r.doc_id: r for r in stages["byte_bpe"](spark, at, str(tmp_path)).collect()}
     whole = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == whole and {i: r.decoded_sha256 for i, r in out.items()} == {r.doc_id: brute.sha(r.text) for r in at.collect()}
+
+
+def test_rows_without_id(spark, nothing):
+    """A row without doc_id is a document of its own in the pipeline's stages; in the queries with SQL it is as there."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("aeioulnrst", k=5)) for _ in range(n))
+    copied, window = prose(60), prose(12)
+    clean, leak, mail = prose(50), f"{prose(30)} {window} {prose(30)}", f"{prose(40)} mail a.b+c@example.com now {prose(10)}"
+    data = [(1, copied), (None, copied), (None, clean), (None, leak), (2, leak), (None, mail), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in data], nothing.schema).repartition(3)
+    listed = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    kept = ngram_join.keep_one(df)
+    assert listed(kept) == sorted([(1, copied), (None, clean), (2, leak), (None, mail), (None, None)], key=str)
+    assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    items = spark.createDataFrame([(1, window)], "item_id long, text string")
+    assert listed(decontamination.drop_contaminated(df, items)) == sorted([x for x in data if x[1] != leak], key=str)
+    hidden = mail.replace("a.b+c@example.com", "[EMAIL]")
+    assert listed(pii.redact(df)) == sorted([(i, hidden if t == mail else t) for i, t in data], key=str)
+    assert sorted((r.doc_id is None, r.n_email) for r in pii.report(df).collect()) == [(False, 0), (False, 0), *[(True, 0)] * 4, (True, 1)]
+    assert {(r.doc_id, r.n_removed) for r in repeats.digests(df).where("n_bytes > 0").collect()} == {(1, 0), (2, 0), (None, 0)}
+    assert ngram_join.keep_one(df.where("doc_id is null")).count() == 5
