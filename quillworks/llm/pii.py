@@ -5,7 +5,8 @@ Patterns give candidate spans. On each, labelers vote for, against or not at all
 patterns, of which there are at most kinds x 3**labelers, are counted over the corpus; expectation-maximisation over these
 counts estimates each labeler's reliability and each pattern's probability. With those as soft targets a logistic span
 classifier is trained on votes and on the span's shape, again over counts. Its verdict adds spans of the wider kinds and
-base candidates that failed a check; base spans that pass their checks always stay.
+phone candidates that failed a check; base spans that pass their checks always stay. Card and ip candidates that failed theirs
+never count, whatever the classifier says: a wrong check digit or a part above 255 shows that they are other numbers.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. doc_id names a document; repeated rows get the
 same spans each. Rows without doc_id are documents of their own.
