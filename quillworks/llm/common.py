@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +24,66 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: What :func:`store` has written and nobody has discarded; goes when Python ends.
+_left: dict[str, None] = {}
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.unregister(_clear)
+        atexit.register(_clear)
+    _left[path] = None
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def _delete(path: str) -> None:
+    jvm, context = SparkContext._jvm, SparkContext._active_spark_context
+    if jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    _left.pop(path, None)
+
+
+def _clear() -> None:
+    """Deletes what lazy results were still reading from."""
+    for path in [*_left]:
+        _delete(path)
+
+
+def discard(*tables: DataFrame) -> None:
     """Deletes what :func:`store` wrote."""
-    spark, path = df.sparkSession, getattr(df, "_stored_at", None)
-    if path:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            _delete(path)
+
+
+#: A table of so many rows, of a few longs each, may be sent to every task.
+FEW_ROWS = 1 << 18
+
+
+def few(table: DataFrame) -> DataFrame:
+    """``table`` (stored; a few longs a row) marked for broadcast if its rows are few."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table.hint("shuffle_merge")
+
+
+#: Rows of one key beyond so many go to several tasks; and so many keys may be split at most.
+SPLIT_ROWS, SPLIT_KEYS = 256, 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` (stored) joined to ``right``, which has at most one row a key, on ``key``. Rows of a frequent key are dealt by ``by`` over copies
+    of its row in ``right``; no more than SPLIT_KEYS keys can be frequent, whatever the size of ``left``."""
+    most = max(SPLIT_ROWS, -(-left.count() // SPLIT_KEYS))
+    often = left.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_copies"))
+    dealt = left.join(F.broadcast(often), key, "left").withColumn("_copy", F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = right.join(F.broadcast(often), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_copy"], how).drop("_copy")
 
 
 def release(spark: SparkSession) -> None:
@@ -52,9 +98,9 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
-def with_own_ids(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def with_own_ids(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
     """``step`` of ``docs``, where each row without doc_id is a document of its own, above all ids; its doc_id is null again in
-    what ``step`` returns."""
+    what ``step`` returns, and so are such ids in the columns ``more``."""
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return step(docs)
@@ -62,7 +108,8 @@ def with_own_ids(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> Dat
     top, kind = -1 if top is None else top, docs.schema["doc_id"].dataType
     # stored, as the numbers are not the same in each reading
     named = store(nameless.withColumn("doc_id", (F.lit(top) + 1 + F.monotonically_increasing_id()).cast(kind)), "nameless")
-    return step(docs.where("doc_id is not null").unionByName(named)).withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+    out = step(docs.where("doc_id is not null").unionByName(named))
+    return out.withColumns({c: F.when(F.col(c) <= top, F.col(c)) for c in ("doc_id", *more)})
 
 
 def shuffle_width(spark: SparkSession) -> int:

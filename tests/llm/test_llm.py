@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 import tiktoken
-from conftest import ITEMS, ROWS
+from made import ITEMS, ROWS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
