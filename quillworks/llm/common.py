@@ -72,18 +72,19 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table.hint("shuffle_merge")
 
 
-#: Rows of one key beyond so many go to several tasks; and so many keys may be split at most.
+#: A key of more rows than this goes to several tasks; the most frequent keys, so many at most, are looked at.
 SPLIT_ROWS, SPLIT_KEYS = 256, 20_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``left`` (stored) joined to ``right``, which has at most one row a key, on ``key``. Rows of a frequent key are dealt by ``by`` over copies
-    of its row in ``right``; no more than SPLIT_KEYS keys can be frequent, whatever the size of ``left``."""
-    most = max(SPLIT_ROWS, -(-left.count() // SPLIT_KEYS))
-    often = left.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_copies"))
-    dealt = left.join(F.broadcast(often), key, "left").withColumn("_copy", F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
-    copied = right.join(F.broadcast(often), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return dealt.join(copied, [key, "_copy"], how).drop("_copy")
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined to ``right``, which has at most one row a key, on ``key``. Rows of a frequent key are dealt by ``by`` over copies of its
+    row in ``right``. A key beyond the SPLIT_KEYS most frequent has less than that part of ``left``. ``counts``, if known, has the keys with their ``count``."""
+    keys = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*keys).count() if counts is None else counts
+    often = F.broadcast(counts.where(F.col("count") > SPLIT_ROWS).orderBy(F.desc("count"), *keys).limit(SPLIT_KEYS).select(*keys, F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("_copies")))
+    dealt = left.join(often, keys, "left").withColumn("_copy", F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = right.join(often, keys, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [*keys, "_copy"], how).drop("_copy")
 
 
 def release(spark: SparkSession) -> None:

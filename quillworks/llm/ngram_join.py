@@ -299,14 +299,15 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
         discard(sets, reps)
         return _linked(docs, k, percent, seed + 1)
 
-    # Two buckets a task at least, as powers of two; four homes a task.
-    bits, homes = min(max(1, (2 * width - 1).bit_length()), 16), 4 * width
+    # A bucket a task at least, as a power of two, and a home a task: what is sent grows with the shingles, not with buckets times homes.
+    bits, homes = min(max(1, (width - 1).bit_length()), 16), width
     dealt = texts.mapInArrow(_deal(k, seed, bits, homes), DEALT)
     to_bucket = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.col("home"))
     counted = dealt.repartition(width, to_bucket).sortWithinPartitions("bucket").mapInArrow(_count(homes), DEALT)
     posted = store(counted.repartition(width, "home").sortWithinPartitions("home").mapInArrow(_post(percent), POSTINGS), "postings")
-    met = posted.groupBy("key", "tile").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or("small").alias("met")).where("met and low < high").select("key", "tile")
-    shared = store(posted.join(met, ["key", "tile"]), "shared")
+    tiles = posted.groupBy("key", "tile").agg(F.count("*").alias("count"), F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or("small").alias("met"))
+    tiles, spot = store(tiles.where("met and low < high").select("key", "tile", "count"), "tiles"), ["key", "tile"]
+    shared = store(spread_join(posted, tiles.select(*spot), spot, by="set", counts=tiles), "shared")
     discard(posted)
 
     wanted = store(shared.select("set").distinct().join(reps, "set").select(F.col("set").alias("wanted"), F.col("rep").alias("doc_id")), "wanted")
@@ -319,7 +320,8 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
         mine = _labelled(shared, labels)
         rank = F.struct(F.col("own"), F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("label"))
         leaders = mine.groupBy("key", "tile").agg(F.min(rank).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        tried = mine.join(leaders.select("key", "tile", F.col("top.set").alias("leader"), F.col("top.label").alias("its")), ["key", "tile"]).where("label != its")
+        leaders = leaders.select("key", "tile", F.col("top.set").alias("leader"), F.col("top.label").alias("its"))
+        tried = spread_join(mine, leaders, spot, by="set", counts=tiles).where("label != its")
         best = tried.groupBy("set", "leader").agg(F.count("*").alias("times")).groupBy(F.col("set").alias("a")).agg(F.max_by("leader", F.struct("times", "leader")).alias("b"))
         pairs = store(best, "pairs")
         links.append(verified(pairs, arrays, percent))
@@ -334,7 +336,7 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     # What is left: sets of different components whose shared posting lies within both prefixes.
     mine = _labelled(shared, labels)
     mixed = mine.groupBy("key", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "tile")
-    mine = mine.join(mixed, ["key", "tile"])
+    mine = spread_join(mine, mixed, spot, by="set", counts=tiles)
     sides = [mine.select("key", "tile", "small", *(F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "rank", "label"))) for x in "ab"]
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     fits = (F.col("label_a") != F.col("label_b")) & F.expr(f"(n_a < n_b or n_a = n_b and set_a < set_b) and 100 * n_a >= {percent} * n_b") & (F.col("rank_a") <= F.col("n_a") - need) & (F.col("rank_b") <= F.col("n_b") - need)
@@ -345,7 +347,7 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     if links[-1].count() or labels is None:
         discard(*([] if labels is None else [labels]))
         labels = components(_all(links))
-    discard(pairs, shared, arrays, *links)
+    discard(pairs, shared, tiles, arrays, *links)
 
     # Each set's component; a set of one document without links needs no row.
     placed = store(labels.join(reps, labels.node == reps.set).select("node", "label", "rep"), "placed")
