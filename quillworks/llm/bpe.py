@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
 Texts of up to ``chunk_chars`` are encoded as they are. Longer ones are cut into overlapping chunks, which are
-pre-tokenised in parallel. In each overlap both chunks' pre-token boundaries are compared; where they meet again,
-everything after is the same for both, so the text is cut there and each piece is encoded by itself. A document in
-which some overlap holds no common boundary (one enormous word, say) is encoded whole.
+pre-tokenised in parallel. In each overlap the pre-token boundaries of both chunks are compared. A pre-token depends on the text
+from its start on alone, so from a boundary that both have, both go on alike: there the text is cut, and each piece is encoded by
+itself. Where an overlap holds no common boundary (one enormous word, say), the chunks on its two sides stay one piece.
 
-Null and empty texts give empty lists. Rows keep all their columns; repeated rows are encoded each by itself.
+Long texts are told by their MD5, so equal ones are encoded once and no row number is needed that might change between two
+readings. Null and empty texts give empty lists. Rows keep all their columns; repeated rows each get their ids. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillworks.llm.common import shuffle_width
+from quillworks.llm.common import spread_join
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 11
+CHUNK_CHARS = 1 << 13
+OVERLAP_CHARS = 1 << 9
 
 #: No decision on a boundary looks further ahead than this.
 LOOKAHEAD = 4
@@ -66,26 +68,36 @@ def decoder(ranks_path: str):
 
 
 def boundaries(text: str, pattern, start: int = 0) -> list[int]:
-    """Ends of the pre-tokens from ``start`` on that what may follow ``text`` cannot move."""
-    return [end for end in (m.end() for m in pattern.finditer(text, start)) if end <= len(text) - LOOKAHEAD]
+    """Ends of the pre-tokens from ``start`` on that what may follow ``text`` cannot move: not those of white space up to its end."""
+    sure = len(text[: len(text) - LOOKAHEAD].rstrip())
+    return [end for end in (m.end() for m in pattern.finditer(text, start)) if end < sure]
 
 
 def resynchronised(text: str, core: int, pattern) -> int | None:
-    """The first place after ``core`` where pre-tokens counted from 0 and from ``core`` both end, between two plain words."""
+    """The first place after ``core`` where pre-tokens counted from 0 and from ``core`` both end, but after no white space: how that
+    is split depends on what follows."""
     own = set(boundaries(text, pattern))
-    for at in boundaries(text, pattern, core):
-        if at in own and at > core and text[at] == " " and text[at - 1].isascii() and text[at - 1].isalnum() and text[at + 1].isascii() and text[at + 1].isalpha():
-            return at
-    return None
+    return next((at for at in boundaries(text, pattern, core) if at in own and not text[at - 1].isspace()), None)
+
+
+CHUNKS = "key string, k int, start long, body string, last boolean"
 
 
 def _cut(size: int, overlap: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for k, start in enumerate(range(0, len(text), size)):
+            for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
+                text = text.as_py()
+                starts = range(0, len(text), size)
+                for some in (starts[i : i + 64] for i in range(0, len(starts), 64)):
                     yield pa.RecordBatch.from_pydict(
-                        {"row": pa.array([row], pa.int64()), "k": pa.array([k], pa.int32()), "start": pa.array([start], pa.int64()), "body": [text[start : start + size + overlap]], "last": [start + size >= len(text)]}
+                        {
+                            "key": [key] * len(some),
+                            "k": pa.array([s // size for s in some], pa.int32()),
+                            "start": pa.array(some, pa.int64()),
+                            "body": [text[s : s + size + overlap] for s in some],
+                            "last": [s + size >= len(text) for s in some],
+                        }
                     )
 
     return cut
@@ -103,33 +115,37 @@ def _seams(size: int, pattern: str):
     return seams
 
 
+def stitched(texts: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
+    """key, first (the number of its first chunk) and piece of each piece of ``texts`` (key, text), equal ones once."""
+    chunks = texts.mapInArrow(_cut(chunk_chars, overlap_chars), CHUNKS).dropDuplicates(["key", "k"])
+    chunks = chunks.mapInArrow(_seams(chunk_chars, pattern), f"{CHUNKS}, cut long")
+    in_order = Window.partitionBy("key").orderBy("k")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    # a chunk begins where the one before it was cut, or else at its own start; it opens a piece in the first case
+    chunks = chunks.withColumn("cut", F.col("cut") + F.col("start")).withColumns({"begin": F.lag("cut").over(in_order), "no": F.count("cut").over(before)})
+    begin, end = F.coalesce("begin", "start"), F.coalesce("cut", F.col("start") + chunk_chars)
+    parts = chunks.select("key", "no", "k", F.substring("body", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("key", "no").agg(F.min("k").alias("first"), whole.alias("piece")).select("key", "first", "piece")
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """``docs`` with the ids of each whole text in column ``to`` (replaced if there), as the tiktoken library's encode_ordinary gives them."""
     if not 2 * LOOKAHEAD < overlap_chars <= chunk_chars:
         raise ValueError("the overlap must be longer than the lookahead and no longer than a chunk")
+    if "(?<" in pattern:
+        raise ValueError("a pre-token may not depend on what stands before it")
     ids_of = encoder(ranks_path, pattern)
     rest = [c for c in docs.columns if c != to]
+    key = "_key"
+    while key in rest:
+        key += "_"
     short = docs.select(*rest).where(F.col(text).isNull() | (F.length(text) <= chunk_chars)).withColumn(to, ids_of(F.col(text)))
-
-    long = docs.select(*rest).where(F.length(text) > chunk_chars).select(F.monotonically_increasing_id().alias("row"), F.struct(*rest).alias("given"), F.col(text).alias("text"))
-    chunks = long.select("row", "text").mapInArrow(_cut(chunk_chars, overlap_chars), "row long, k int, start long, body string, last boolean")
-    spark = docs.sparkSession
-    chunks = chunks.repartition(shuffle_width(spark), "row", "k").mapInArrow(_seams(chunk_chars, pattern), "row long, k int, start long, body string, last boolean, cut long")
-    from pyspark.sql import Window
-
-    in_order = Window.partitionBy("row").orderBy("k")
-    chunks = chunks.withColumn("cut", F.col("cut") + F.col("start")).withColumn("begin", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.lag("cut").over(in_order)))
-    broken = F.bool_or(F.col("cut").isNull()).over(Window.partitionBy("row"))
-    pieces = chunks.withColumn("broken", broken).select(
-        "row",
-        "k",
-        "broken",
-        F.when(F.col("broken"), F.substring("body", 1, chunk_chars)).otherwise(F.expr("substring(body, cast(begin - start + 1 as int), cast(cut - begin as int))")).alias("piece"),
-    )
-    whole = pieces.where("broken").groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    encoded = pieces.where("not broken").select("row", "k", "piece").unionByName(whole.select("row", F.lit(0).alias("k"), "piece")).withColumn("ids", ids_of(F.col("piece")))
-    joined = encoded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias(to))
-    return short.unionByName(long.select("row", "given").join(joined, "row").select("given.*", to))
+    long = docs.select(*rest, F.md5(text).alias(key)).where(F.length(text) > chunk_chars)
+    pieces = stitched(long.select(F.col(key).alias("key"), F.col(text).alias("text")), pattern, chunk_chars, overlap_chars).withColumn("ids", ids_of(F.col("piece")))
+    joined = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "ids"))), lambda x: x["ids"])).alias(to))
+    by = "doc_id" if "doc_id" in rest else rest[0]
+    return short.unionByName(spread_join(long, joined.withColumnRenamed("key", key), key, by).select(*rest, to))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "bytes") -> DataFrame:

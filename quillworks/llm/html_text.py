@@ -3,12 +3,14 @@
 A page becomes text lines, one a block, each marked by where it stands: in the article (or main) element, in a part that
 is never text (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers), or elsewhere. Pages are
 ordered by host and URL path; each is paired with the neighbour on its host that shares the longer path prefix (the one
-before, if equal). Pages of its own path, and pages with the same lines, are passed over: they are captures or copies of it. The two pages' lines are aligned by their longest common subsequence, and shared lines go, but lines
-inside an article element stay: copies of an article under two URLs would else delete each other. Pages with an article
-give its lines alone.
+before, if equal). Pages of its own path, and pages with the same lines, are passed over: they are captures or copies of it.
+The two pages' lines are aligned by their longest common subsequence, and shared lines go. Lines inside an article element stay:
+copies of an article under two URLs would else delete each other. A page without a neighbour that has an article gives its lines alone.
 
 The order is dealt out by ranges, so a host of any size is spread. Pages at the ends of a range, and those that they can be paired
-with, meet the ends of the host's other ranges in a second step: the pairing does not depend on the ranges. Null and empty pages have no text. Repeated rows are pages of their own.
+with, meet the ends of the host's other ranges in a second step: the pairing does not depend on the ranges. Null and empty pages have no
+text. Repeated rows are pages of their own; a null URL's pages share the empty host. A page of any length is one row of one task.
+Of ``pages`` only page_id, url and html are read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 
 ARTICLE, CHROMED, OTHER = 2, 0, 1
-#: Alignment keeps a row of bits for each line of one side; beyond so many bits it halves the page first.
+#: Alignment keeps a row of bits for each line of one side, as many rows at a time as have so many bits.
 BITS = 1 << 26
 
 
@@ -141,48 +143,37 @@ def common_lines(a: list, b: list) -> set[int]:
     return found | {low + i for i in inner}
 
 
-def _rows(a: list, b: list, keep: bool):
-    """Bit-parallel rows: bit j of the row after i lines of ``a`` is unset where the common length grows at b[j]."""
-    places: dict = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, [full]
+def _rows(row: int, a: list, places: dict, full: int) -> Iterator[int]:
+    """The bit-parallel row after each line of ``a``: bit j is unset where the common length grows at place j of the other side."""
     for x in a:
         u = row & places.get(x, 0)
         row = (row + u | row - u) & full
-        if keep:
-            rows.append(row)
-    return rows if keep else row
+        yield row
 
 
 def _aligned(a: list, b: list) -> set[int]:
+    """Walks back through the rows. Of long pages one row in ``step`` is kept, and the rows between are made again when the
+    walk comes there: the alignment is the same for any BITS."""
     if not a or not b:
         return set()
-    if len(a) * len(b) <= BITS or len(a) == 1:
-        rows, found, j = _rows(a, b, True), set(), len(b) - 1
-        i = len(a)
-        while i and j >= 0:
-            if rows[i] >> j & 1:  # b[j] does not lengthen it
-                j -= 1
-            elif not rows[i - 1] >> j & 1 and _length(rows[i - 1], j) == _length(rows[i], j):
-                i -= 1
-            elif _length(rows[i - 1], j) == _length(rows[i], j):
-                i -= 1
-            else:
-                found.add(i - 1)
-                i, j = i - 1, j - 1
-        return found
-    half = len(a) // 2
-    ahead, back = _rows(a[:half], b, False), _rows(a[half:][::-1], b[::-1], False)
-    lengths = [0]
-    for j in range(len(b)):
-        lengths.append(lengths[-1] + (not ahead >> j & 1))
-    behind = [0]
-    for j in range(len(b)):
-        behind.append(behind[-1] + (not back >> j & 1))
-    cut = max(range(len(b) + 1), key=lambda j: lengths[j] + behind[len(b) - j])
-    return _aligned(a[:half], b[:cut]) | {half + i for i in _aligned(a[half:], b[cut:])}
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full, step = (1 << len(b)) - 1, max(1, BITS // len(b))
+    kept = [full, *(row for n, row in enumerate(_rows(full, a, places, full), 1) if n % step == 0)]
+    found, i, j, at, rows = set(), len(a), len(b) - 1, -1, []
+    while i and j >= 0:
+        if (part := (i - 1) // step) != at:
+            at, rows = part, [kept[part], *_rows(kept[part], a[part * step : (part + 1) * step], places, full)]
+        row, above = rows[i - at * step], rows[i - at * step - 1]
+        if row >> j & 1:  # b[j] does not lengthen it
+            j -= 1
+        elif _length(above, j) == _length(row, j):
+            i -= 1
+        else:
+            found.add(i - 1)
+            i, j = i - 1, j - 1
+    return found
 
 
 def _length(row: int, j: int) -> int:
@@ -190,10 +181,13 @@ def _length(row: int, j: int) -> int:
 
 
 def main_text(lines: list[tuple[str, int]], beside: list[str] | None) -> str:
-    """The text of a page's lines, given its neighbour's."""
-    shared = common_lines([t for t, _ in lines], beside) if beside else set()
+    """The text of a page's lines, given its neighbour's: of lines outside an article those that the neighbour has not. Without
+    a neighbour an article is all of the text, if there is one."""
+    if beside:
+        shared = common_lines([t for t, _ in lines], beside)
+        return " ".join(t for i, (t, m) in enumerate(lines) if m == ARTICLE or m == OTHER and i not in shared)
     wanted = ARTICLE if any(m == ARTICLE for _, m in lines) else OTHER
-    return " ".join(t for i, (t, m) in enumerate(lines) if m == wanted and (m == ARTICLE or i not in shared))
+    return " ".join(t for t, m in lines if m == wanted)
 
 
 def url_path():

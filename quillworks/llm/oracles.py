@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from quillworks.llm import license_scan
 from quillworks.llm.quality_rules import HOST_RATE, PRIOR_DOCUMENTS
-from quillworks.llm.revisits import REVISIT_AFTER
+from quillworks.llm.revisits import REVISIT_AFTER, TRACKING
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT = "coalesce(text, '')"
@@ -40,14 +41,34 @@ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-REVISITS = rf"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS bare, md5(coalesce(html, '')) AS etag, strlen(coalesce(html, '')) AS size FROM pages),
-k AS (SELECT *, lower(regexp_replace(regexp_extract(bare, '^[^/]*'), ':(80|443)$', '')) || regexp_replace(regexp_extract(bare, '^[^/]*(.*)$', 1), '(\.html?|/)$', '') AS canonical FROM u),
+_TRACKED = ", ".join(f"'{x}'" for x in TRACKING)
+REVISITS = rf"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '(?s)#.*$', '') AS bare, md5(coalesce(html, '')) AS etag, strlen(coalesce(html, '')) AS size FROM pages),
+v AS (SELECT *, regexp_replace(bare, '(?s)\?.*$', '') AS place, array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '(?s)\?(.*)$', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ({_TRACKED}))), '&') AS query FROM u),
+k AS (SELECT *, lower(regexp_replace(regexp_extract(place, '^[^/]*'), ':(80|443)$', '')) || regexp_replace(regexp_extract(place, '(?s)^[^/]*(.*)$', 1), '(\.html?|/)$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical FROM v),
 a AS (SELECT r.page_id, max(s.page_id) AS of FROM k r JOIN k s ON s.canonical = r.canonical AND s.page_id < r.page_id + {REVISIT_AFTER} GROUP BY 1)
 SELECT 2 * k.page_id + 1 AS record_id, k.canonical, CASE WHEN o.page_id IS NULL THEN 'missing' WHEN o.etag = k.etag THEN 'resolved' ELSE 'mismatch' END AS status, CASE WHEN o.etag = k.etag THEN 2 * o.page_id END AS resolved_id,
   CASE WHEN o.etag = k.etag THEN 'age=0;content-length=' || o.size || ';date=' || (k.page_id + {REVISIT_AFTER}) || ';etag=' || o.etag END AS headers
 FROM k LEFT JOIN a ON a.page_id = k.page_id LEFT JOIN k o ON o.page_id = a.of"""
 
 
+_PHRASES = ", ".join(f"('{k}', {len(k.split())}, '{v}')" for k, v in license_scan.PHRASES.items())
+_TEMPLATES = ", ".join(f"('{k}', '{license_scan.label_of(k)}', {license_scan.block_words(t)}, '{b" ".join(license_scan.words(t)).decode()}')" for k, t in license_scan.TEMPLATES.items())
+
+LICENSES = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS own
+  FROM p, (VALUES {_PHRASES}) x(phrase, n, label) WHERE i + n <= len(w) AND array_to_string(w[i + 1:i + n], ' ') = phrase GROUP BY 1),
+t AS (SELECT name, label, size, list_distinct(string_split(text, ' ')) AS terms FROM (VALUES {_TEMPLATES}) y(name, label, size, text)),
+m AS (SELECT name, label, size, len(terms) AS n, unnest(terms) AS term FROM t),
+h AS (SELECT doc_id, name, label, size, n, term, i FROM (SELECT doc_id, i, w[i + 1] AS term FROM p) JOIN m USING (term)),
+k AS (SELECT doc_id, name FROM h GROUP BY 1, 2, n HAVING 100 * count(DISTINCT term) >= {license_scan.PERCENT} * n),
+c AS (SELECT a.doc_id, a.name, a.label, a.i, a.n, count(DISTINCT z.term) AS held FROM h a JOIN k USING (doc_id, name) JOIN h z ON z.doc_id = a.doc_id AND z.name = a.name AND z.i BETWEEN a.i AND a.i + a.size - 1 GROUP BY ALL),
+f AS (SELECT doc_id, list(DISTINCT label) AS more, max(held / n) AS best FROM c WHERE 100 * held >= {license_scan.PERCENT} * n GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+
 def _rates(rule: str) -> str:
     low, high = PRIOR_DOCUMENTS
     strength = f"CASE WHEN v_{rule} > 0 THEN least(greatest(m_{rule} * (1 - m_{rule}) / v_{rule} - 1, {low}), {high}) ELSE {high} END"
@@ -70,4 +91,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": LINKS, "op3_suffix_dedup": REPEATS, "op6_decontamination": CONTAMINATION, "op7_revisits": REVISITS, "op10_quality_rules": QUALITY}
+    return {"op2_ngram_jaccard": LINKS, "op3_suffix_dedup": REPEATS, "op4_license_scan": LICENSES, "op6_decontamination": CONTAMINATION, "op7_revisits": REVISITS, "op10_quality_rules": QUALITY}

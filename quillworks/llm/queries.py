@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillworks.llm import bpe, decontamination, html_text, license_scan, ngram_join, pii, quality_rules, repeats, revisits, sharding
 from quillworks.llm.common import read
 
-#: Where public vocabularies lie, unless TOKENIZER_DIR names another folder.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def tokenizer() -> tuple[str, str]:
     """The rank file and the pre-token pattern."""
-    import importlib.util
+    import public_tokenizers
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers", f"{TOKENIZERS}/__init__.py")
-    public = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(public)
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ headers are merged as for a cached response: those of the revisit win, save the
 The join runs in two steps, so that a URL of any number of records is spread: within blocks of time each revisit looks
 back for a response; where its block has none before it, it takes the last response of the earlier blocks, of which
 only one row a block is ordered by itself. Responses of one instant are ordered by record_id; a revisit sees only responses of
-earlier instants. Null URLs and times resolve to nothing. Repeated rows resolve each by itself.
+earlier instants. Null URLs and times resolve to nothing. Repeated rows resolve each by itself. Columns beyond the seven of a record
+are not read, whatever their names. Long URLs are compared whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,12 +22,20 @@ STORED_ONLY = ["content-encoding", "content-length", "content-md5", "content-ran
 BLOCK = 4096
 
 
+#: Parameters that tell where a visitor came from, not which resource is meant.
+TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
+
+
 def canonical_url(url):
-    """Host in lower case without scheme, default port, query of tracking and paging, fragment, closing slash and .html."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
-    host = F.lower(F.regexp_replace(F.regexp_extract(bare, r"^[^/]*", 0), r":(80|443)$", ""))
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(.*)$", 1), r"(\.html?|/)$", "")
-    return F.concat(host, path)
+    """Host in lower case without scheme and default port; path without closing slash and .html; the query's parameters in
+    order, without those of TRACKING; no fragment."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"(?s)#.*$", "")
+    place = F.regexp_replace(bare, r"(?s)\?.*$", "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(place, r"^[^/]*", 0), r":(80|443)$", ""))
+    path = F.regexp_replace(F.regexp_extract(place, r"(?s)^[^/]*(.*)$", 1), r"(\.html?|/)$", "")
+    asked = F.filter(F.split(F.regexp_extract(bare, r"(?s)\?(.*)$", 1), "&"), lambda x: (x != "") & ~F.split(x, "=")[0].isin(TRACKING))
+    query = F.array_join(F.array_sort(asked), "&")
+    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
 def merged(stored, fresh):
@@ -40,6 +49,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each revisit of ``records`` (record_id, url, ts, kind response or revisit, etag, last_modified, headers map) with
     canonical, resolved_id (the response it refers to; null if none earlier or its validators differ), status (resolved,
     mismatch, missing) and merged headers (null unless resolved)."""
+    records = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers")
     keyed = records.withColumn("canonical", canonical_url(F.col("url"))).withColumn("block", F.floor(F.col("ts") / block))
     stored = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     here = Window.partitionBy("canonical", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
