@@ -1,15 +1,13 @@
-import os
 import sys
 from pathlib import Path
 
-import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from plain_rows import DATA, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -36,16 +34,3 @@ def duck():
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
-
-
-def rows(frame):
-    """Comparable rows of a pandas frame, columns by name."""
-
-    def plain(x):
-        if pd.isna(x):
-            return "null"
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
-            return round(float(x), 6) + 0.0
-        return str(x)
-
-    return sorted((tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=str)

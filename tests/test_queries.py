@@ -1,7 +1,7 @@
 """Every query with SQL gives the SQL's rows; the others give rows."""
 
 import pytest
-from conftest import DATA, rows
+from plain_rows import DATA, rows
 
 from quillworks.plans.oracles import oracle_sql
 from quillworks.plans.queries import QUERIES
