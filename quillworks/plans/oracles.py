@@ -6,7 +6,7 @@ import re
 
 from quillworks.functions import private, quality
 from quillworks.functions.text import ALNUM, SPACE, TRANSITIONS, WORD
-from quillworks.operators import formats
+from quillworks.operators import duplicates, formats
 from quillworks.plans.recipes import RECIPES, Recipe
 
 LINE = r"[\x09-\x0D\x1C-\x20]"
@@ -104,6 +104,11 @@ def metric(name: str, column: str) -> str:
 BALANCED = scored(RECIPES["balanced"])
 
 
+def mean(which: str = "") -> str:
+    """Mean score, from a sum of whole hundredths."""
+    return f"floor(sum(round(score * 100)::BIGINT){which} / count(score){which} / 100 * 10000 + 0.5::DOUBLE) / 10000"
+
+
 def occurrences(marks: list[str]) -> str:
     return " + ".join(f"(length(l) - length(replace(l, {quoted(k)}, ''))) // {len(k)}" for k in marks)
 
@@ -148,11 +153,28 @@ k AS (SELECT doc_id, t, n, unnest(range(0, CASE WHEN n <= 2000 THEN 1 ELSE (n -
 x AS (SELECT doc_id, i, CASE WHEN n <= 2000 THEN t ELSE substr(t, i * 1800 + 1, 2000) END AS chunk, n FROM k)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, md5(chunk) AS chunk_md5 FROM x WHERE n <= 2000 OR length({strip('chunk')}) > 0"""
 
-PACKED = """WITH RECURSIVE r AS (SELECT doc_id // 4096 AS b, coalesce(text, '') AS t, length(coalesce(text, '')) // 4 + 3 AS cost, row_number() OVER (PARTITION BY doc_id // 4096 ORDER BY doc_id, text) AS i FROM documents),
-f AS (SELECT b, i, cost AS used, 0 AS p FROM r WHERE i = 1
-  UNION ALL SELECT r.b, r.i, CASE WHEN f.used + r.cost > 2048 THEN r.cost ELSE f.used + r.cost END, CASE WHEN f.used + r.cost > 2048 THEN f.p + 1 ELSE f.p END FROM f JOIN r ON r.b = f.b AND r.i = f.i + 1)
-SELECT f.b AS pack_block, f.p::BIGINT AS pack_no, count(*) AS packed_count, sum(cost)::BIGINT AS packed_tokens, md5(trim(string_agg('<|begin|>' || chr(10) || t || chr(10) || '<|end|>' || chr(10), '' ORDER BY f.i), chr(10) || ' ')) AS response_md5
-FROM f JOIN r USING (b, i) GROUP BY f.b, f.p"""
+PACKED = """WITH RECURSIVE r AS (SELECT coalesce(text, '') AS t, length(coalesce(text, '')) // 4 + 3 AS cost, row_number() OVER (ORDER BY doc_id, text) AS i FROM documents),
+f AS (SELECT i, cost AS used, i - 1 AS p FROM r WHERE i = 1
+  UNION ALL SELECT r.i, CASE WHEN f.used + r.cost > 2048 THEN r.cost ELSE f.used + r.cost END, CASE WHEN f.used + r.cost > 2048 THEN r.i - 1 ELSE f.p END FROM f JOIN r ON r.i = f.i + 1)
+SELECT f.p::BIGINT AS pack_start, count(*) AS packed_count, sum(cost)::BIGINT AS packed_tokens, md5(trim(string_agg('<|begin|>' || chr(10) || t || chr(10) || '<|end|>' || chr(10), '' ORDER BY f.i), chr(10) || ' ')) AS response_md5
+FROM f JOIN r USING (i) GROUP BY f.p"""
+
+#: Chunks of paragraphs: z holds, run by run, the sums of their lengths; w walks from chunk to chunk.
+SEMANTIC = f"""WITH RECURSIVE d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, {strip('x')} AS x, i FROM (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS i FROM d WHERE length(t) > 2000)),
+q AS (SELECT doc_id, x, length(x) > 2000 AS large, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM p WHERE x <> ''),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, large ORDER BY i) AS run FROM q),
+z AS (SELECT *, list_transform(range(0, len(xs) + 1), lambda k: coalesce(list_sum(list_transform(xs[1:k], lambda x: length(x) + 2)), 0)::BIGINT) AS ends
+  FROM (SELECT doc_id, min(i) AS pos, list(x ORDER BY i) AS xs FROM o WHERE NOT large GROUP BY doc_id, run)),
+w AS (SELECT doc_id, pos, xs, ends, 0::BIGINT AS no, 0::BIGINT AS lead, greatest(1, len(list_filter(ends, lambda e: e <= 2002)) - 1)::BIGINT AS stop, 0::BIGINT AS start FROM z
+  UNION ALL SELECT doc_id, pos, xs, ends, no + 1, own, greatest(stop + 1, len(list_filter(ends, lambda e: e <= 2002 + ends[stop + 1] - CASE WHEN own < stop THEN ends[stop + 1] - ends[own + 1] - 2 ELSE -2 END)) - 1)::BIGINT, stop
+  FROM (SELECT *, CASE WHEN head < stop AND ends[stop + 1] - ends[head + 1] + length(xs[stop + 1]) > 2000 THEN stop ELSE head END AS own
+    FROM (SELECT *, CASE WHEN ends[start + 1] >= ends[stop + 1] - 202 THEN CASE WHEN ends[lead + 1] >= ends[stop + 1] - 202 THEN lead ELSE start END
+      ELSE start + len(list_filter(ends[start + 1:stop], lambda e: e < ends[stop + 1] - 202)) END AS head FROM w WHERE stop < len(xs)))),
+k AS (SELECT doc_id, pos, no, array_to_string(xs[lead + 1:stop], chr(10) || chr(10)) AS c FROM w
+  UNION ALL SELECT doc_id, i, k, substr(x, k * 1800 + 1, 2000) FROM (SELECT doc_id, i, x, unnest(range(0, (length(x) - 2000) // 1800 + 2)) AS k FROM o WHERE large)
+  UNION ALL SELECT doc_id, 0, 0, t FROM d WHERE length(t) <= 2000)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, no) - 1 AS chunk_no, md5(c) AS chunk_md5 FROM k WHERE pos = 0 OR length({strip('c')}) > 0"""
 
 STRIPPED = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
 for _tag in ("aside", "footer", "header", "nav", "script", "style"):
@@ -161,6 +183,27 @@ for _tag in ("aside", "footer", "header", "nav", "script", "style"):
 CHAT = """'system:You are a knowledgeable assistant trained on ' || source || '.|user:Explain the key concepts from "Chapter ' || doc_id || '" in ' || source || '.|assistant:' || text"""
 
 
+def near(measure: str, threshold: float = 0.85) -> str:
+    """Tables kept as the strict leader rule leaves them: walk has one row, with the last list of rows that went."""
+    code = " + ".join(f"u[i + {j}] * {w}" for j, w in enumerate(duplicates.weights()))
+    values = ", ".join(f"({s}, {a}, {b})" for s, (a, b) in enumerate(duplicates.functions()))
+    rows = duplicates.HASHES // duplicates.BANDS
+    like = "len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))" if measure == "sigset" else f"len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) / {duplicates.HASHES}"
+    return f"""WITH RECURSIVE c AS (SELECT doc_id, list_transform(string_split(t, ''), lambda c: unicode(c)::BIGINT) AS u FROM (SELECT doc_id, {strip("lower(coalesce(text, ''))")} AS t FROM documents) WHERE length(t) >= {duplicates.GRAM}),
+g AS (SELECT DISTINCT doc_id, ({code}) % {duplicates.PRIME} AS x FROM (SELECT doc_id, u, unnest(range(1, len(u) - {duplicates.GRAM - 2})) AS i FROM c)),
+f(s, slope, shift) AS (VALUES {values}),
+v AS (SELECT doc_id, s, min((slope * x + shift) % {duplicates.PRIME}) AS v FROM g, f GROUP BY 1, 2),
+sets AS (SELECT doc_id, list(v ORDER BY s) AS sig FROM v GROUP BY 1),
+band AS (SELECT doc_id, b, list_slice(sig, b * {rows} + 1, b * {rows} + {rows}) AS k FROM sets, range({duplicates.BANDS}) r(b)),
+cand AS (SELECT DISTINCT x.doc_id AS early, y.doc_id AS late FROM band x JOIN band y ON x.b = y.b AND x.k = y.k AND x.doc_id < y.doc_id),
+sim AS (SELECT early, late FROM (SELECT early, late, p.sig AS a, q.sig AS b FROM cand JOIN sets p ON p.doc_id = early JOIN sets q ON q.doc_id = late) WHERE {like} >= {threshold}),
+seq AS (SELECT late, list(early ORDER BY early) AS earlies, row_number() OVER (ORDER BY late) AS i FROM sim GROUP BY late),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone, []::BIGINT[] AS of
+  UNION ALL SELECT seq.i, CASE WHEN len(held) > 0 THEN list_append(gone, late) ELSE gone END, CASE WHEN len(held) > 0 THEN list_append(of, held[1]) ELSE of END
+  FROM (SELECT walk.i AS was, gone, of, seq.*, list_filter(earlies, lambda e: NOT list_contains(gone, e)) AS held FROM walk JOIN seq ON seq.i = walk.i + 1) seq),
+last AS (SELECT gone, of FROM walk ORDER BY i DESC LIMIT 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "density": metric("density", "density"),
@@ -178,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_score": f"{BALANCED} SELECT doc_id, score, coalesce(gate, '') AS gate FROM scored",
         "reject_histogram": f"{BALANCED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM scored GROUP BY 1",
         "classify": f"{TYPED} SELECT doc_id, content_type FROM typed",
-        "domain_hist": f"{TYPED} SELECT content_type, count(*) AS n, round(avg(est_tokens), 4) AS avg_tokens FROM typed GROUP BY 1",
+        "domain_hist": f"{TYPED} SELECT content_type, count(*) AS n, floor(sum(est_tokens) / count(est_tokens) * 10000 + 0.5::DOUBLE) / 10000 AS avg_tokens FROM typed GROUP BY 1",
         "front_matter": f"""WITH f AS (SELECT doc_id, lower({strip("string_split(coalesce(text, ''), chr(10))[1]")}) AS title, {strip("coalesce(text, '')")} AS body FROM documents)
 SELECT doc_id, regexp_matches(title, {quoted(quality.FRONT_MATTER)}) OR (length(body) < 150 AND length(title) > 0 AND regexp_matches(lower(string_split(body, chr(10))[1]), {quoted(quality.FRONT_MATTER)})) AS front_matter FROM f""",
         "pii_detect": f"SELECT * FROM (SELECT doc_id, {', '.join(f'array_to_string({found(k)}, {quoted(chr(124))}) AS {k}' for k in private.PATTERNS)} FROM documents) WHERE {' || '.join(private.PATTERNS)} <> ''",
@@ -187,9 +230,12 @@ SELECT doc_id, regexp_matches(title, {quoted(quality.FRONT_MATTER)}) OR (length(
         "keep_first": "SELECT min(url) AS url FROM pages GROUP BY lower(string_split(url, '/')[-1])",
         "merge_short": MERGED,
         "chunk_windows": WINDOWS,
+        "chunk_semantic": SEMANTIC,
         "exact_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')",
         "merge_distinct": "SELECT min(doc_id) AS doc_id, lang, source FROM documents GROUP BY lang, source, text, n_chars",
         "shingle_count": f"WITH s AS (SELECT doc_id, {strip('lower(coalesce(text, chr(32)))')} AS t FROM documents), g AS (SELECT doc_id, substr(t, i::INT, 6) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 4, 1))) AS i FROM s)) SELECT s.doc_id, count(DISTINCT g) AS n_shingles FROM s LEFT JOIN g USING (doc_id) GROUP BY 1",
+        "near_dup_keep": f"{near('sigset')} SELECT doc_id FROM documents WHERE NOT list_contains((SELECT gone FROM last), doc_id)",
+        "near_dup_pairs": f"{near('slots')} SELECT unnest(gone) AS ord, unnest(of) AS of FROM last",
         "contam_phrase": "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(coalesce(text, '')), {quoted(p.lower())}) THEN {quoted(p[:40])}" for p in quality.BENCHMARK_PHRASES) + " END AS phrase FROM documents",
         "contam_table": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''",
         "contam_sha": "WITH f AS (SELECT 'bench' AS bench, text FROM benchmark UNION ALL SELECT 'held', text FROM documents WHERE source = 'src3') SELECT doc_id, min(bench) AS bench FROM documents JOIN f USING (text) GROUP BY doc_id",
@@ -203,9 +249,9 @@ SELECT doc_id, regexp_matches(title, {quoted(quality.FRONT_MATTER)}) OR (length(
         "export_sft": f"{TYPED} SELECT md5('user:' || {TEMPLATE} || chr(10) || {INPUT} || '|assistant:' || text) AS messages_md5 FROM typed",
         "html_strip_regex": f"SELECT page_id, md5({normalized(f'regexp_replace({STRIPPED}, {quoted("(?s)<[^>]*>")}, chr(10), {quoted("g")})')}) AS text_md5 FROM pages",
         "validate_hist": f"{scored(Recipe(min_chars=100, max_chars=99_999))} SELECT least(floor(score), 9)::BIGINT AS bin, count(*) AS n FROM scored GROUP BY 1",
-        "source_quality": f"{BALANCED} SELECT source, count(*) AS n, round(avg(score), 4) AS avg_quality FROM scored WHERE reason IS NULL GROUP BY 1",
-        "report": f"{BALANCED} SELECT count(*) AS n, count(*) FILTER (reason IS NULL) AS kept, sum(greatest(1, n // 4)) FILTER (reason IS NULL)::BIGINT AS tokens, round(avg(score) FILTER (reason IS NULL), 4) AS avg_quality, max(score) FILTER (reason IS NULL) AS best, min(score) FILTER (reason IS NULL) AS worst FROM scored",
-        "score_by_label": f"{BALANCED} SELECT quality::BIGINT AS quality, count(*) AS n, round(avg(score), 4) AS avg_score FROM scored JOIN labels USING (doc_id) GROUP BY 1",
+        "source_quality": f"{BALANCED} SELECT source, count(*) AS n, {mean()} AS avg_quality FROM scored WHERE reason IS NULL GROUP BY 1",
+        "report": f"{BALANCED} SELECT count(*) AS n, count(*) FILTER (reason IS NULL) AS kept, sum(greatest(1, n // 4)) FILTER (reason IS NULL)::BIGINT AS tokens, {mean(' FILTER (reason IS NULL)')} AS avg_quality, max(score) FILTER (reason IS NULL) AS best, min(score) FILTER (reason IS NULL) AS worst FROM scored",
+        "score_by_label": f"{BALANCED} SELECT quality::BIGINT AS quality, count(*) AS n, {mean()} AS avg_score FROM scored JOIN labels USING (doc_id) GROUP BY 1",
         "table_stats": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS docs, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM {t}" for t in ("documents", "benchmark", "conversations")),
     }
     for name, r in RECIPES.items():

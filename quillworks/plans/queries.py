@@ -14,6 +14,7 @@ from quillworks.operators import contamination, duplicates, formats, order
 from quillworks.plans import build as plan
 from quillworks.plans.recipes import RECIPES, Recipe
 from quillworks.sources import epub, epub_writer, html
+from quillworks.sources.tables import spread
 
 QUERIES: dict = {}
 
@@ -24,7 +25,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def classify(spark, sf_dir):
 @query
 def domain_hist(spark, sf_dir):
     typed = documents(spark, sf_dir).select(quality.content_type("text").alias("content_type"), tx.token_estimate("text").alias("t"))
-    return typed.groupBy("content_type").agg(F.count("*").alias("n"), F.round(F.avg("t"), 4).alias("avg_tokens"))
+    return typed.groupBy("content_type").agg(F.count("*").alias("n"), quality.rounded(F.sum("t") / F.count("t"), 4).alias("avg_tokens"))
 
 
 @query
@@ -165,7 +166,7 @@ def chunk_windows(spark, sf_dir):
 def chunk_semantic(spark, sf_dir):
     paragraphs = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     cut = documents(spark, sf_dir).select("doc_id", F.posexplode(order.semantic_chunks(paragraphs, 2000, 200)).alias("chunk_no", "chunk"))
-    return cut.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+    return cut.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query
@@ -252,7 +253,7 @@ def conversation_chat(spark, sf_dir):
 def pack(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("response"))
     packed = order.pack(docs, "doc_id")
-    return packed.select("pack_block", "pack_no", "packed_count", "packed_tokens", F.md5("response").alias("response_md5"))
+    return packed.select("pack_start", "packed_count", "packed_tokens", F.md5("response").alias("response_md5"))
 
 
 @query
@@ -300,7 +301,7 @@ def validate_hist(spark, sf_dir):
 @query
 def source_quality(spark, sf_dir):
     kept = scored(spark, sf_dir, RECIPES["balanced"]).where("reason is null")
-    return kept.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_quality"))
+    return kept.groupBy("source").agg(F.count("*").alias("n"), plan.mean_of_hundredths("score").alias("avg_quality"))
 
 
 @query
@@ -312,7 +313,7 @@ def report(spark, sf_dir):
         F.count("*").alias("n"),
         F.count_if(kept).alias("kept"),
         F.sum(tokens_).alias("tokens"),
-        F.round(F.avg(F.when(kept, F.col("score"))), 4).alias("avg_quality"),
+        plan.mean_of_hundredths(F.when(kept, F.col("score"))).alias("avg_quality"),
         F.max(F.when(kept, F.col("score"))).alias("best"),
         F.min(F.when(kept, F.col("score"))).alias("worst"),
     )
@@ -323,7 +324,7 @@ def score_by_label(spark, sf_dir):
     """Mean score of labelled documents: the rubric held against people's verdicts."""
     labels = table(spark, sf_dir, "labels")
     df = scored(spark, sf_dir, RECIPES["balanced"]).join(labels, "doc_id")
-    return df.groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"))
+    return df.groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), plan.mean_of_hundredths("score").alias("avg_score"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,22 +20,22 @@ class Node:
     def __init__(self, name: str, parent: "Node | None" = None) -> None:
         self.name, self.parent, self.inside = name, parent, []
 
-    def strings(self):
-        """Text nodes below, without those of dropped elements."""
-        for x in self.inside:
-            if isinstance(x, str):
-                yield x
-            elif x.name not in DROPPED:
-                yield from x.strings()
+    def walk(self, without: "Node | None" = None) -> Iterator["str | Node"]:
+        """Text nodes and elements below in page order, but nothing of dropped elements and of ``without``."""
+        open_ = [iter(self.inside)]
+        while open_:
+            for x in open_[-1]:
+                if isinstance(x, str):
+                    yield x
+                elif x.name not in DROPPED and x is not without:
+                    yield x
+                    open_.append(iter(x.inside))
+                    break
+            else:
+                open_.pop()
 
-    def find(self, names: set[str]) -> "Node | None":
-        for x in self.inside:
-            if isinstance(x, Node):
-                if x.name in names:
-                    return x
-                if (deeper := x.find(names)) is not None:
-                    return deeper
-        return None
+    def strings(self, without: "Node | None" = None) -> Iterator[str]:
+        return (x for x in self.walk(without) if isinstance(x, str))
 
 
 class _Tree(HTMLParser):
@@ -67,40 +68,44 @@ class _Tree(HTMLParser):
 LISTS = {"ul", "ol"}
 
 
-def _joined(node: Node) -> str:
-    return " ".join(filter(None, (s.strip() for s in node.strings())))
+def _items(of: Node) -> Iterator[tuple[int, Node]]:
+    return enumerate((x for x in of.inside if isinstance(x, Node) and x.name == "li"), 1)
 
 
-def list_lines(node: Node, indent: int, bullet: str) -> list[str]:
-    """One line an item; the first list inside an item follows it, two blanks further in."""
-    lines = []
-    for number, item in enumerate((x for x in node.inside if isinstance(x, Node) and x.name == "li"), 1):
-        inner, text = item.find(LISTS), _joined(item)
-        if inner is not None and (part := _joined(inner)):
-            text = text.replace(part, "").strip()
-        lines.append(" " * indent + (bullet if node.name == "ul" else f"{number}.") + " " + text)
+def list_lines(of: Node) -> list[str]:
+    """One line an item: its text outside the first list in it, whose items follow two blanks further in."""
+    lines: list[str] = []
+    levels = [(_items(of), 2, "*" if of.name == "ul" else None)]
+    while levels:
+        items, indent, bullet = levels[-1]
+        number, item = next(items, (0, None))
+        if item is None:
+            levels.pop()
+            continue
+        inner = next((x for x in item.walk() if isinstance(x, Node) and x.name in LISTS), None)
+        words = " ".join(filter(None, map(str.strip, item.strings(without=inner))))
+        lines.append(f"{' ' * indent}{bullet or f'{number}.'} {words}")
         if inner is not None:
-            lines += list_lines(inner, max(indent + 2, 4), "-")
+            levels.append((_items(inner), max(indent + 2, 4), "-" if inner.name == "ul" else None))
     return lines
 
 
-def _flatten(node: Node) -> None:
-    for i, x in enumerate(node.inside):
-        if isinstance(x, Node) and x.name in LISTS:
-            node.inside[i] = "\n".join(list_lines(x, 2, "*"))
-        elif isinstance(x, Node):
-            _flatten(x)
-
-
 def text_nodes(page: str) -> str:
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    _flatten(tree.root)
-    return "\n".join(tree.root.strings())
+    lines, listed = [], [tree.root]
+    # outermost lists become lines of text, then what is left is read in page order
+    while listed:
+        node = listed.pop()
+        for i, x in enumerate(node.inside):
+            if isinstance(x, Node):
+                if x.name in LISTS:
+                    node.inside[i] = "\n".join(list_lines(x))
+                else:
+                    listed.append(x)
+    lines.extend(tree.root.strings())
+    return "\n".join(lines)
 
 
 @F.pandas_udf(T.StringType())

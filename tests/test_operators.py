@@ -65,7 +65,7 @@ def test_semantic_pieces(paragraphs, overlap):
 
 def test_pack(spark):
     texts = ["a" * 40, "b" * 40, "c" * 400, "d" * 8]
-    out = order.pack(spark.createDataFrame([*enumerate(texts)], "i long, response string"), "i", most=30).orderBy("pack_no").collect()
+    out = order.pack(spark.createDataFrame([*enumerate(texts)], "i long, response string"), "i", most=30).orderBy("pack_start").collect()
     assert [(r.packed_count, r.packed_tokens) for r in out] == [(2, 26), (1, 103), (1, 5)]
     assert out[0].response == "<|begin|>\n" + "a" * 40 + "\n<|end|>\n<|begin|>\n" + "b" * 40 + "\n<|end|>"
     assert order.pack(spark.createDataFrame([], "i long, response string"), "i").count() == 0
