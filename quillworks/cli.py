@@ -12,6 +12,8 @@ from quillworks.operators import duplicates, order
 from quillworks.plans import build as plan
 from quillworks.plans import recipes
 from quillworks.sources import epub, sinks
+from quillworks.sources.tables import fingerprint_maps, store
+from quillworks.streaming import files as streams
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,7 +43,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--validate", action="store_true")
     p.add_argument("--merge", action="store_true")
     p.add_argument("--license")
-    p.add_argument("--fingerprints", help="a JSON Lines file of bench and fp (SHA-256 of a text)")
+    p.add_argument("--fingerprints", help="a JSON Lines file of bench and fp (SHA-256 of a text), or a folder of JSON maps from benchmarks to lists of these")
+    p.add_argument("--tokenizer", help="a public vocabulary's name or a tokenizers file: est_tokens then counts its tokens")
+    p.add_argument("--stream", action="store_true", help="append the chapters of new books to the output folder until stopped, as Parquet")
+    p.add_argument("--jobs", type=int, help="partitions of books that are read at a time; all cores if not given")
     p.add_argument("--no-recursive", action="store_true")
     return p
 
@@ -61,24 +66,34 @@ def main(arguments: list[str] | None = None) -> int:
         rows = sinks.read_jsonl(spark, a.input_dir, lenient=True)
         sinks.write(duplicates.canonical(rows.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at"), a.output, kind)
         return 0
+    if a.stream:
+        query = streams.book_stream(spark, a.input_dir).writeStream.format("parquet").option("checkpointLocation", f"{a.output}_checkpoint").start(a.output)
+        query.awaitTermination()
+        return 0
     books = epub.files(spark, a.input_dir, not a.no_recursive)
+    if a.jobs:
+        books = books.coalesce(a.jobs)
     chapters, metadata = epub.chapters(books, a.include_front_matter), epub.metadata(books)
     if a.stats:
-        chapters.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).orderBy("source").show(1000, False)
+        plan.folder_stats(chapters).show(1000, False)
         return 0
     if a.license:
         chapters = epub.licensed(chapters, metadata, a.license)
-    options = plan.Options(chosen, a.style, a.redact_pii, a.lightweight, not a.no_dedup, pack=a.pack_max_tokens if a.pack else None)
-    built = plan.build(chapters, options, metadata, spark.read.json(a.fingerprints) if a.fingerprints else None)
+    options = plan.Options(chosen, a.style, a.redact_pii, a.lightweight, not a.no_dedup, pack=a.pack_max_tokens if a.pack else None, tokenizer=a.tokenizer)
+    known = None
+    if a.fingerprints:
+        known = spark.read.json(a.fingerprints) if a.fingerprints.endswith(".jsonl") else fingerprint_maps(spark, a.fingerprints)
+    built = plan.build(chapters, options, metadata, known)
     if not built.funnel["quality_passed"]:
         print("no chunk passed", file=sys.stderr)
         return 1
     if a.per_file:
-        sinks.write(built.examples.withColumn("file", F.col("source")), a.output, kind, by=["file"])
+        sinks.write(built.examples.withColumn("file", sinks.file_name_of(F.col("source"))), a.output, kind, by=["file"])
     elif a.split_domain and not a.pack:
         sinks.write(built.examples.withColumn("type", F.col("content_type")), a.output, kind, by=["type"])
     elif a.shard:
-        rows = built.examples.withColumn("__at", F.monotonically_increasing_id())
+        # stored, as the numbers are not the same in each reading
+        rows = store(built.examples.withColumn("__at", F.monotonically_increasing_id()), "examples")
         sinks.write(order.contiguous_shards(rows, "__at", a.shard).drop("__at"), a.output, kind, by=["shard"])
     else:
         sinks.write(built.examples, a.output, kind)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
@@ -25,6 +27,12 @@ def file_name(source: str) -> str:
     return source.rpartition(".")[0].translate({32: "_", 40: None, 41: None}) if "." in source else source.translate({32: "_", 40: None, 41: None})
 
 
+def file_name_of(source: Column) -> Column:
+    """:func:`file_name` as a column."""
+    bare = F.when(F.contains(source, F.lit(".")), F.regexp_replace(source, r"\.[^.]*$", "")).otherwise(source)
+    return F.translate(bare, " ()", "_")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Quality dimensions as columns of their own."""
     if "quality_dimensions" not in df.columns:
@@ -37,11 +45,19 @@ def scalars(df: DataFrame) -> DataFrame:
     return df.select(*(f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")))
 
 
+MODES = ("errorifexists", "error", "overwrite", "append", "ignore")
+
+
 def write(df: DataFrame, path: str, kind: str = "jsonl", mode: str = "errorifexists", by: list[str] | None = None) -> None:
-    """Writes a folder of files in one of ``FORMATS``; ``by`` columns become folders (jsonl, parquet)."""
+    """Writes a folder of files in one of ``FORMATS``; the values of ``by`` columns become folders, as Spark names them. A JSON array is
+    one file, so it takes no ``by``."""
     if kind not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if kind == "json":
+        if by:
+            raise ValueError("a JSON array is one file; use jsonl for a folder a value")
         if df.limit(JSON_ROWS + 1).count() > JSON_ROWS:
             raise ValueError(f"a JSON array takes up to {JSON_ROWS} rows; use jsonl")
         rows = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).coalesce(1)
@@ -49,8 +65,13 @@ def write(df: DataFrame, path: str, kind: str = "jsonl", mode: str = "errorifexi
         return
     spark = df.sparkSession
     if kind in ("arrow", "tfrecord"):
+        if not _cleared(spark, path, mode):
+            return
         spark.dataSource.register(ArrowFiles if kind == "arrow" else RecordFiles)
-        scalars(df).write.format("quill_" + kind).option("path", path).mode("append").save()
+        rows = scalars(df)
+        if by:  # a task then has one file open at a time
+            rows = rows.repartition(*by).sortWithinPartitions(*by)
+        rows.write.format("quill_" + kind).option("path", path).option("by", json.dumps(by or [])).mode("append").save()
         return
     writer = (flat(df) if kind == "parquet" else df).write.mode(mode)
     if by:
@@ -58,6 +79,19 @@ def write(df: DataFrame, path: str, kind: str = "jsonl", mode: str = "errorifexi
     writer.parquet(path) if kind == "parquet" else writer.json(path)
 
 
+def _cleared(spark: SparkSession, path: str, mode: str) -> bool:
+    """Whether to write to ``path``, after what ``mode`` asks to do to it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode == "append" or not store.exists(at):
+        return True
+    if mode == "overwrite":
+        return store.delete(at, True)
+    if mode == "ignore":
+        return False
+    raise FileExistsError(path)
+
+
 def _array(frames):
     import pandas as pd
 
@@ -87,6 +121,13 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def _folder(by: list[str], values: tuple) -> str:
+    """The folders of a row's values, in Spark's form."""
+    from urllib.parse import quote
+
+    return "".join(f"/{c}={'__HIVE_DEFAULT_PARTITION__' if v is None or v == '' else quote(str(v), safe=' ().-_')}" for c, v in zip(by, values, strict=True))
+
+
 def _target(folder: str, ending: str):
     """A file of its own for a task attempt."""
     from pyspark import TaskContext
@@ -98,13 +139,16 @@ def _target(folder: str, ending: str):
 
 
 class Done(WriterCommitMessage):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class _Folder:
     """Files of failed attempts go; a marker says that all is there."""
 
+    def __init__(self, folder: str, by: list[str]) -> None:
+        self.folder, self.by = folder, by
+
     def commit(self, messages) -> None:
         files, path = _filesystem(self.folder)
         with files.open_output_stream(f"{path}/_SUCCESS"):
@@ -112,9 +156,9 @@ class _Folder:
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None:
+            for path in m.paths if m is not None else ():
                 files, _ = _filesystem(self.folder)
-                files.delete_file(m.path)
+                files.delete_file(path)
 
 
 class ArrowFiles(DataSource):
@@ -125,27 +169,39 @@ class ArrowFiles(DataSource):
         return "quill_arrow"
 
     def writer(self, schema, overwrite: bool):
-        return _ArrowWriter(self.options["path"])
+        return _ArrowWriter(self.options["path"], json.loads(self.options["by"]))
 
 
 class _ArrowWriter(_Folder, DataSourceArrowWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
     def write(self, batches: Iterator) -> WriterCommitMessage:
         import pyarrow as pa
 
-        files, path = _target(self.folder, "arrow")
-        writer = out = None
+        done, writer, out, now = [], None, None, None
         for batch in batches:
-            if writer is None:
-                out = files.open_output_stream(path)
-                writer = pa.ipc.new_file(out, batch.schema)
-            writer.write_batch(batch)
+            for values, part in self._runs(batch):
+                if writer is None or values != now:
+                    if writer is not None:
+                        writer.close()
+                        out.close()
+                    files, path = _target(self.folder + _folder(self.by, values), "arrow")
+                    out, now = files.open_output_stream(path), values
+                    writer = pa.ipc.new_file(out, part.schema)
+                    done.append(path)
+                writer.write_batch(part)
         if writer is not None:
             writer.close()
             out.close()
-        return Done(path)
+        return Done(done)
+
+    def _runs(self, batch):
+        """Stretches of rows with the same values, without these."""
+        rest = batch.select([c for c in batch.schema.names if c not in self.by])
+        keys = [*zip(*(batch[c].to_pylist() for c in self.by), strict=True)] if self.by else [()] * batch.num_rows
+        start = 0
+        for end in range(1, len(keys) + 1):
+            if end == len(keys) or keys[end] != keys[start]:
+                yield keys[start], rest.slice(start, end - start)
+                start = end
 
 
 def _varint(n: int) -> bytes:
@@ -178,23 +234,31 @@ def example(row: dict) -> bytes:
     return _field(1, features)
 
 
-#: Built from the polynomial of CRC-32C.
-def _crc_table() -> list[int]:
-    table = []
+def _crc_tables() -> list[list[int]]:
+    """For CRC-32C: the checksum of each byte followed by 0 to 7 empty ones, from the polynomial."""
+    first = []
     for n in range(256):
         for _ in range(8):
             n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        table.append(n)
-    return table
+        first.append(n)
+    tables = [first]
+    for _ in range(7):
+        tables.append([c >> 8 ^ first[c & 255] for c in tables[-1]])
+    return tables[::-1]
 
 
-CRC = _crc_table()
+CRC = _crc_tables()
 
 
 def masked_crc(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = crc >> 8 ^ CRC[(crc ^ b) & 255]
+    """Eight bytes at a time, then the rest one by one."""
+    crc, whole = 0xFFFFFFFF, len(data) & ~7
+    a, b, c, d, e, f, g, h = CRC
+    for low, high in struct.iter_unpack("<II", data[:whole]):
+        low ^= crc
+        crc = a[low & 255] ^ b[low >> 8 & 255] ^ c[low >> 16 & 255] ^ d[low >> 24] ^ e[high & 255] ^ f[high >> 8 & 255] ^ g[high >> 16 & 255] ^ h[high >> 24]
+    for x in data[whole:]:
+        crc = crc >> 8 ^ h[(crc ^ x) & 255]
     crc ^= 0xFFFFFFFF
     return (crc >> 15 | crc << 17) + 0xA282EAD8 & 0xFFFFFFFF
 
@@ -213,16 +277,16 @@ class RecordFiles(DataSource):
         return "quill_tfrecord"
 
     def writer(self, schema, overwrite: bool):
-        return _RecordWriter(self.options["path"])
+        return _RecordWriter(self.options["path"], json.loads(self.options["by"]))
 
 
 class _RecordWriter(_Folder, DataSourceWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        files, path = _target(self.folder, "tfrecord")
-        with files.open_output_stream(path) as out:
-            for row in rows:
-                out.write(record(example(row.asDict())))
-        return Done(path)
+        done = []
+        for values, some in groupby((row.asDict() for row in rows), lambda r: tuple(r[c] for c in self.by)):
+            files, path = _target(self.folder + _folder(self.by, values), "tfrecord")
+            done.append(path)
+            with files.open_output_stream(path) as out:
+                for row in some:
+                    out.write(record(example({k: v for k, v in row.items() if k not in self.by})))
+        return Done(done)

@@ -68,6 +68,6 @@ def fingerprint_maps(spark: SparkSession, path: str) -> DataFrame:
     """bench and fp of JSON files that each map benchmarks to lists of SHA-256 fingerprints."""
     from pyspark.sql import functions as F
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     maps = files.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("bench", "fps"))
     return maps.select("bench", F.explode("fps").alias("fp")).distinct()

@@ -215,3 +215,114 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def test_near_duplicate_recall(spark):
+    """Pairs of exact Jaccard 0.9 and more that some kept row answers for, against all pairs."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(400)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=200)
+        for edits in (0, 1, 2, 3):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts)], "i long, text string")
+    grams = [{t[i : i + 6] for i in range(len(t) - 5)} for t in texts]
+    pairs = {(a, b) for b in range(len(texts)) for a in range(b) if len(grams[a] & grams[b]) >= 0.9 * len(grams[a] | grams[b])}
+    found = {r.ord: r.of for r in duplicates.near_duplicates(df, "i", threshold=0.85, measure="slots").collect()}
+    assert len(pairs) > 100 and sum(b in found for _, b in pairs) >= 0.9 * len(pairs)
+    assert all(len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b]) for b, a in found.items())
+    assert {r.ord for r in duplicates.near_duplicates(df, "i", threshold=0.85, measure="slots", name=False).collect()} == {*found}
+
+
+@pytest.mark.parametrize("block", [16, 30, 4096])
+def test_pack_does_not_depend_on_blocks(spark, block):
+    import random
+
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([0, 3, 40, 90, 400]) for _ in range(300)]
+    packs, used = [], None
+    for i, t in enumerate(texts):
+        cost = len(t) // 4 + 3
+        if used is None or used + cost > 45:
+            packs.append([i, 0])
+            used = 0
+        packs[-1][1] += 1
+        used += cost
+    df = spark.createDataFrame([(i * 7 + 5, t) for i, t in enumerate(texts)], "i long, response string").repartition(5)
+    out = order.pack(df, "i", most=45, block=block).orderBy("pack_start").collect()
+    assert [[r.pack_start, r.packed_count] for r in out] == packs
+
+
+def test_merge_short_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(order, "BLOCK", 4)
+    rows = [(s, i, f"T{i}", "x" * (600 if (i * 7 + len(s)) % 5 == 0 else 3)) for s in ("a", "bb", "ccc") for i in range(1, 40)] + [(None, 3, "N", "y"), (None, 9, "M", None)]
+    want = {}
+    for s, i, t, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        last = want.setdefault(s, [])
+        if last and len(x or "") < 500:
+            last[-1] = (last[-1][0], f"{last[-1][1]} + {t}", f"{last[-1][2]}\n\n{x or ''}")
+        else:
+            last.append((i, t, x or ""))
+    out = order.merge_short(spark.createDataFrame(rows, "source string, chapter_index int, chapter_title string, text string")).collect()
+    assert {(r.source, r.chapter_index, r.chapter_title, r.text) for r in out} == {(s, *v) for s, vs in want.items() for v in vs}
+
+
+def test_sinks_by_and_mode(spark, tmp_path):
+    import pyarrow as pa
+
+    df = spark.createDataFrame([("a b", 1, "x"), ("a b", 2, "y"), (None, 3, "z")], "k string, n long, t string").repartition(3)
+    for kind in ("arrow", "tfrecord"):
+        out = tmp_path / kind
+        sinks.write(df, str(out), kind, by=["k"])
+        assert sorted(p.name for p in out.iterdir() if p.is_dir()) == ["k=__HIVE_DEFAULT_PARTITION__", "k=a b"]
+        with pytest.raises(FileExistsError):
+            sinks.write(df, str(out), kind)
+        sinks.write(df, str(out), kind, mode="ignore")
+        sinks.write(df.limit(1), str(out), kind, mode="overwrite")
+        assert len([*out.rglob(f"*.{kind}")]) == 1
+    one = next((tmp_path / "arrow").rglob("*.arrow"))
+    assert pa.ipc.open_file(one).schema.names == ["k", "n", "t"]
+    with pytest.raises(ValueError):
+        sinks.write(df, str(tmp_path / "json"), "json", by=["k"])
+
+
+def test_checksum():
+    assert sinks.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def test_sql_functions(spark):
+    from quillworks.functions.register import register
+
+    assert "quill_chunks" in register(spark)
+    row = spark.sql("select quill_nfkc('ﬁ') a, quill_token_estimate('abcdefgh') b, quill_masked_email('to a@b.org now') c, trim(quill_html_text('<p>x</p>')) d").first()
+    assert tuple(row) == ("fi", 2, "to [EMAIL_REDACTED] now", "x")
+    assert [r.chunk for r in spark.sql("select * from quill_chunks(repeat('ab', 9), 10, 2)").collect()] == [("ab" * 9)[0:10], ("ab" * 9)[8:18], ("ab" * 9)[16:18]]
+
+
+def test_tokens_need_their_vocabulary(spark):
+    from quillworks.functions import tokens
+
+    df = spark.createDataFrame([("hello there, world",)], "text string")
+    assert df.select(tokens.precise_tokens("text")).first()[0] > 2
+    with pytest.raises(FileNotFoundError):
+        tokens.precise_tokens("text", "no_such_vocabulary")
+    assert df.select(tokens.precise_tokens("text", "no_such_vocabulary", estimate=True)).first()[0] == 4
+
+
+def test_fingerprint_maps(spark, tmp_path):
+    from quillworks.sources.tables import fingerprint_maps
+
+    (tmp_path / "a.json").write_text(json.dumps({"x": ["1", "2"], "y": ["2"]}))
+    (tmp_path / "b.json").write_text(json.dumps({"x": ["2", "3"]}, indent=1))
+    assert {tuple(r) for r in fingerprint_maps(spark, str(tmp_path)).collect()} == {("x", "1"), ("x", "2"), ("x", "3"), ("y", "2")}
+
+
+def test_folder_stats(spark):
+    df = spark.createDataFrame([("a", "x" * 2048), ("a", "é"), ("b", "z")], "source string, text string")
+    assert {r.source: (r.chapters, r.chars, r.kb, r.examples) for r in plan.folder_stats(df).collect()} == {"a": (2, 2049, 2.0, 2), "b": (1, 1, 0.0, 1), None: (3, 2050, 2.0, 3)}
