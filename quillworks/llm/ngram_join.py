@@ -36,7 +36,7 @@ BLOCK = 1 << 20
 #: Sets that a task remembers, so as to send each but once.
 REMEMBERED = 1 << 18
 #: A band ends at so many hundredths above its start; small sizes are bands of their own.
-BAND_PERCENT = 3
+BAND_PERCENT = 8
 MOST_STARS = 3
 #: Rows of postings or pairs in an Arrow batch.
 ROWS = 1 << 16
@@ -184,7 +184,9 @@ def _count(homes: int):
     return count
 
 
-POSTINGS = "key long, tile int, set long, n int, own int, rank int, small boolean"
+#: ``spot`` names a tile: the shingle's bucket and key, then the band.
+POSTINGS = "spot long, set long, n int, own int, rank int, small boolean"
+BAND_BITS = 10
 
 
 def _post(percent: int):
@@ -226,7 +228,7 @@ def _post(percent: int):
                 for cut in (i[j : j + ROWS] for j in range(0, len(i), ROWS)):
                     o = owner[cut]
                     small = (rank[cut] <= within[o]) if down == 0 else np.zeros(len(cut), bool)
-                    columns = (token[cut], tile_of[o].astype(np.int32), ids[o], n[o].astype(np.int32), own[o].astype(np.int32), rank[cut].astype(np.int32), small)
+                    columns = (token[cut] << BAND_BITS | tile_of[o], ids[o], n[o].astype(np.int32), own[o].astype(np.int32), rank[cut].astype(np.int32), small)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in POSTINGS.split(", ")])
                 down += 1
 
@@ -305,9 +307,9 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     to_bucket = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.col("home"))
     counted = dealt.repartition(width, to_bucket).sortWithinPartitions("bucket").mapInArrow(_count(homes), DEALT)
     posted = store(counted.repartition(width, "home").sortWithinPartitions("home").mapInArrow(_post(percent), POSTINGS), "postings")
-    tiles = posted.groupBy("key", "tile").agg(F.count("*").alias("count"), F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or("small").alias("met"))
-    tiles, spot = store(tiles.where("met and low < high").select("key", "tile", "count"), "tiles"), ["key", "tile"]
-    shared = store(spread_join(posted, tiles.select(*spot), spot, by="set", counts=tiles), "shared")
+    tiles = posted.groupBy("spot").agg(F.count("*").alias("count"), F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or("small").alias("met"))
+    tiles = store(tiles.where("met and low < high").select("spot", "count"), "tiles")
+    shared = store(spread_join(posted, tiles.select("spot"), "spot", by="set", counts=tiles), "shared")
     discard(posted)
 
     wanted = store(shared.select("set").distinct().join(reps, "set").select(F.col("set").alias("wanted"), F.col("rep").alias("doc_id")), "wanted")
@@ -319,9 +321,9 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     for turn in range(MOST_STARS):
         mine = _labelled(shared, labels)
         rank = F.struct(F.col("own"), F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("label"))
-        leaders = mine.groupBy("key", "tile").agg(F.min(rank).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        leaders = leaders.select("key", "tile", F.col("top.set").alias("leader"), F.col("top.label").alias("its"))
-        tried = spread_join(mine, leaders, spot, by="set", counts=tiles).where("label != its")
+        leaders = mine.groupBy("spot").agg(F.min(rank).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        leaders = leaders.select("spot", F.col("top.set").alias("leader"), F.col("top.label").alias("its"))
+        tried = spread_join(mine, leaders, "spot", by="set", counts=tiles).where("label != its")
         best = tried.groupBy("set", "leader").agg(F.count("*").alias("times")).groupBy(F.col("set").alias("a")).agg(F.max_by("leader", F.struct("times", "leader")).alias("b"))
         pairs = store(best, "pairs")
         links.append(verified(pairs, arrays, percent))
@@ -335,13 +337,13 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
 
     # What is left: sets of different components whose shared posting lies within both prefixes.
     mine = _labelled(shared, labels)
-    mixed = mine.groupBy("key", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "tile")
-    mine = spread_join(mine, mixed, spot, by="set", counts=tiles)
-    sides = [mine.select("key", "tile", "small", *(F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "rank", "label"))) for x in "ab"]
+    mixed = mine.groupBy("spot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("spot")
+    mine = spread_join(mine, mixed, "spot", by="set", counts=tiles)
+    sides = [mine.select("spot", "small", *(F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "rank", "label"))) for x in "ab"]
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     fits = (F.col("label_a") != F.col("label_b")) & F.expr(f"(n_a < n_b or n_a = n_b and set_a < set_b) and 100 * n_a >= {percent} * n_b") & (F.col("rank_a") <= F.col("n_a") - need) & (F.col("rank_b") <= F.col("n_b") - need)
-    left, right = sides[0].where("small").drop("small"), sides[1].drop("small").withColumnsRenamed({"key": "key_b", "tile": "tile_b"})
-    last = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("tile") == F.col("tile_b")) & fits)
+    left, right = sides[0].where("small").drop("small"), sides[1].drop("small").withColumnRenamed("spot", "spot_b")
+    last = left.join(right, (F.col("spot") == F.col("spot_b")) & fits)
     pairs = store(last.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), "pairs")
     links.append(verified(pairs, arrays, percent))
     if links[-1].count() or labels is None:
