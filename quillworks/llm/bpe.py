@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quillworks.llm.common import spread_join
 
-CHUNK_CHARS = 1 << 13
+CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 9
 
 #: No decision on a boundary looks further ahead than this.
