@@ -6,7 +6,7 @@ first, so sets over the threshold share one of the first ``n - need + 1`` of bot
 for. Sizes lie in narrow bands, and a tile holds the postings of one shingle and one band of the smaller set's size: a larger set
 posts into the tiles of the bands that it can link with, each time as far as that band's sizes ask.
 
-In a tile every set first tries one leader, the set with fewest shingles of its own, in rounds as long as they find much, so
+In a tile every set first tries one leader, the set with fewest rarer shingles, in rounds as long as they find much, so
 that a large group of near copies takes one pair a member. Then the pairs of sets in different components go on whose shared posting
 lies within both prefixes for their very sizes. Pairs are settled by the bit counts of their hashed bitmaps, which bound
 the overlap from above, and by intersecting sorted arrays. Rows of one key (a leader's, a label's) are dealt over several tasks.
@@ -32,12 +32,14 @@ from quillworks.llm.shingles import set_id, shingle_sets
 
 SIGNATURE_BITS = 2048
 #: Sets of so many shingles together are dealt to buckets at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Sets that a task remembers, so as to send each but once.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: A band ends at so many hundredths above its start; small sizes are bands of their own.
 BAND_PERCENT = 8
 MOST_STARS = 3
+#: A bucket's keys are counted in so many parts, by their first bits, one after another.
+PARTS = 8
 #: Rows of postings or pairs in an Arrow batch.
 ROWS = 1 << 16
 
@@ -165,27 +167,38 @@ def _count(homes: int):
                 for r in rows:
                     yield _dealt([r["home"]], [-1], [0, len(r["sets"]) // 8], np.frombuffer(r["sets"], np.int64), np.frombuffer(r["sizes"], np.uint32), np.frombuffer(r["keys"], np.uint32), None, [0, len(r["keys"]) // 4])
                 continue
-            keys, owner = whole(rows, "keys", np.uint32), np.repeat(whole(rows, "sets", np.int64), whole(rows, "sizes", np.uint32))
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            times = np.diff(np.r_[first, len(keys)])
-            times = np.repeat(times, times)
-            keys, owner, times = (x[times > 1] for x in (keys, owner, times))
-            if not len(keys):
-                continue
-            home = (owner.view(np.uint64) % np.uint64(homes)).astype(np.int32)
-            order = np.lexsort((owner, home))
-            home, owner, keys, times = home[order], owner[order], keys[order], np.minimum(times[order], 0xFFFFFFFF).astype(np.uint32)
-            run = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            row = np.flatnonzero(np.r_[True, home[run][1:] != home[run][:-1]])
-            yield _dealt(home[run[row]], np.full(len(row), bucket, np.int32), np.r_[row, len(run)], owner[run], np.diff(np.r_[run, len(keys)]).astype(np.uint32), keys, times, np.r_[run[row], len(keys)])
+            keys, sets = whole(rows, "keys", np.uint32), whole(rows, "sets", np.int64)
+            run_of = np.repeat(np.arange(len(sets), dtype=np.int32), whole(rows, "sizes", np.uint32))
+            del rows[:]
+            for part in range(PARTS):
+                some = np.flatnonzero(keys // np.uint32((1 << 32) // PARTS) == part)
+                if len(some):
+                    yield from shared(bucket, keys[some], sets[run_of[some]])
+
+    def shared(bucket: int, keys, owner) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        times = np.diff(np.r_[first, len(keys)])
+        times = np.repeat(times, times)
+        keys, owner, times = (x[times > 1] for x in (keys, owner, times))
+        if not len(keys):
+            return
+        home = (owner.view(np.uint64) % np.uint64(homes)).astype(np.int32)
+        order = np.lexsort((owner, home))
+        home, owner, keys, times = home[order], owner[order], keys[order], np.minimum(times[order], 0xFFFFFFFF).astype(np.uint32)
+        run = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        row = np.flatnonzero(np.r_[True, home[run][1:] != home[run][:-1]])
+        yield _dealt(home[run[row]], np.full(len(row), bucket, np.int32), np.r_[row, len(run)], owner[run], np.diff(np.r_[run, len(keys)]).astype(np.uint32), keys, times, np.r_[run[row], len(keys)])
 
     return count
 
 
-#: ``spot`` names a tile: the shingle's bucket and key, then the band.
-POSTINGS = "spot long, set long, n int, own int, rank int, small boolean"
+#: ``spot`` names a tile: the shingle's bucket and key, then the band. ``place`` is the set's size, the rank of the shingle in it, and
+#: whether it can meet sets no smaller there.
+POSTINGS = "spot long, set long, place long"
 BAND_BITS = 10
 
 
@@ -228,7 +241,7 @@ def _post(percent: int):
                 for cut in (i[j : j + ROWS] for j in range(0, len(i), ROWS)):
                     o = owner[cut]
                     small = (rank[cut] <= within[o]) if down == 0 else np.zeros(len(cut), bool)
-                    columns = (token[cut] << BAND_BITS | tile_of[o], ids[o], n[o].astype(np.int32), own[o].astype(np.int32), rank[cut].astype(np.int32), small)
+                    columns = (token[cut] << BAND_BITS | tile_of[o], ids[o], n[o] << 32 | rank[cut] << 1 | small)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in POSTINGS.split(", ")])
                 down += 1
 
@@ -240,9 +253,10 @@ def _arrays(k: int, seed: int):
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(wanted, len(own), bitmap(own), own.tobytes()) for wanted, own in zip(batch["wanted"].to_pylist(), shingle_sets(batch["text"], k), strict=True) if len(own) and set_id(own, seed)[0] == wanted]
-            columns = [*zip(*found, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["set", "n", "bits", "shingles"])
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                found = [(wanted, len(own), bitmap(own), own.tobytes()) for wanted, own in zip(part["wanted"].to_pylist(), shingle_sets(part["text"], k), strict=True) if len(own) and set_id(own, seed)[0] == wanted]
+                columns = [*zip(*found, strict=True)] or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["set", "n", "bits", "shingles"])
 
     return arrays
 
@@ -301,15 +315,16 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
         discard(sets, reps)
         return _linked(docs, k, percent, seed + 1)
 
-    # A bucket a task at least, as a power of two, and a home a task: what is sent grows with the shingles, not with buckets times homes.
-    bits, homes = min(max(1, (width - 1).bit_length()), 16), width
+    # A bucket a task at most, as a power of two, and a home a task: what is sent grows with the shingles, not with buckets times homes.
+    bits, homes = min(max(1, width.bit_length() - 1), 16), width
     dealt = texts.mapInArrow(_deal(k, seed, bits, homes), DEALT)
     to_bucket = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.col("home"))
     counted = dealt.repartition(width, to_bucket).sortWithinPartitions("bucket").mapInArrow(_count(homes), DEALT)
     posted = store(counted.repartition(width, "home").sortWithinPartitions("home").mapInArrow(_post(percent), POSTINGS), "postings")
-    tiles = posted.groupBy("spot").agg(F.count("*").alias("count"), F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or("small").alias("met"))
+    tiles = posted.groupBy("spot").agg(F.count("*").alias("count"), F.min("set").alias("low"), F.max("set").alias("high"), F.bool_or(F.col("place") % 2 == 1).alias("met"))
     tiles = store(tiles.where("met and low < high").select("spot", "count"), "tiles")
-    shared = store(spread_join(posted, tiles.select("spot"), "spot", by="set", counts=tiles), "shared")
+    met = spread_join(posted, tiles.select("spot"), "spot", by="set", counts=tiles)
+    shared = store(met.select("spot", "set", F.expr("cast(place >> 32 as int)").alias("n"), F.expr("cast((place & 4294967295) >> 1 as int)").alias("rank"), (F.col("place") % 2 == 1).alias("small")), "shared")
     discard(posted)
 
     wanted = store(shared.select("set").distinct().join(reps, "set").select(F.col("set").alias("wanted"), F.col("rep").alias("doc_id")), "wanted")
@@ -320,8 +335,8 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     labels, links = None, []
     for turn in range(MOST_STARS):
         mine = _labelled(shared, labels)
-        rank = F.struct(F.col("own"), F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("label"))
-        leaders = mine.groupBy("spot").agg(F.min(rank).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        first = F.struct(F.col("rank"), F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("label"))
+        leaders = mine.groupBy("spot").agg(F.min(first).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         leaders = leaders.select("spot", F.col("top.set").alias("leader"), F.col("top.label").alias("its"))
         tried = spread_join(mine, leaders, "spot", by="set", counts=tiles).where("label != its")
         best = tried.groupBy("set", "leader").agg(F.count("*").alias("times")).groupBy(F.col("set").alias("a")).agg(F.max_by("leader", F.struct("times", "leader")).alias("b"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: So many bytes are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Longer words are hashed by themselves: a polynomial modulo a power of two is no good hash of very long words.
 LONG_WORD = 64
 
