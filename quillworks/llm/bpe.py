@@ -129,23 +129,33 @@ def stitched(texts: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     return parts.groupBy("key", "no").agg(F.min("k").alias("first"), whole.alias("piece")).select("key", "first", "piece")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """``docs`` with the ids of each whole text in column ``to`` (replaced if there), as the tiktoken library's encode_ordinary gives them."""
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def parts(docs: DataFrame, ranks_path: str, pattern: str, text: str, to: str, key: str, chunk_chars: int, overlap_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of ``docs`` whose texts are encoded as they are; the other rows with their text's MD5 in ``key``; and ``key`` and the
+    ids, in column ``to``, of each different one of these texts."""
     if not 2 * LOOKAHEAD < overlap_chars <= chunk_chars:
         raise ValueError("the overlap must be longer than the lookahead and no longer than a chunk")
     if "(?<" in pattern:
         raise ValueError("a pre-token may not depend on what stands before it")
-    ids_of = encoder(ranks_path, pattern)
-    rest = [c for c in docs.columns if c != to]
-    key = "_key"
-    while key in rest:
-        key += "_"
-    short = docs.select(*rest).where(F.col(text).isNull() | (F.length(text) <= chunk_chars)).withColumn(to, ids_of(F.col(text)))
-    long = docs.select(*rest, F.md5(text).alias(key)).where(F.length(text) > chunk_chars)
-    pieces = stitched(long.select(F.col(key).alias("key"), F.col(text).alias("text")), pattern, chunk_chars, overlap_chars).withColumn("ids", ids_of(F.col("piece")))
+    short = docs.where(F.col(text).isNull() | (F.length(text) <= chunk_chars))
+    long = docs.where(F.length(text) > chunk_chars).withColumn(key, F.md5(text))
+    pieces = stitched(long.select(F.col(key).alias("key"), F.col(text).alias("text")), pattern, chunk_chars, overlap_chars).withColumn("ids", encoder(ranks_path, pattern)(F.col("piece")))
     joined = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "ids"))), lambda x: x["ids"])).alias(to))
-    by = "doc_id" if "doc_id" in rest else rest[0]
-    return short.unionByName(spread_join(long, joined.withColumnRenamed("key", key), key, by).select(*rest, to))
+    return short, long, joined.withColumnRenamed("key", key)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """``docs`` with the ids of each whole text in column ``to`` (replaced if there), as the tiktoken library's encode_ordinary gives them."""
+    rest = [c for c in docs.columns if c != to]
+    key, by = _free("_key", rest), "doc_id" if "doc_id" in rest else rest[0]
+    short, long, joined = parts(docs.select(*rest), ranks_path, pattern, text, to, key, chunk_chars, overlap_chars)
+    short = short.withColumn(to, encoder(ranks_path, pattern)(F.col(text)))
+    return short.unionByName(spread_join(long, joined, key, by).select(*rest, to))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
@@ -153,12 +163,37 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "bytes")
     return df.withColumn(to, decoder(ranks_path)(F.col(ids)))
 
 
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digester(ranks_path: str, pattern: str | None):
+    """An Arrow UDF from texts (or, without a pattern, ids) to DIGEST. Ids are decoded and digested text by text: none are kept."""
+
+    @F.arrow_udf(DIGEST)
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import hashlib
+
+        import tiktoken
+
+        ranks = read_ranks(ranks_path)
+        bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if pattern else None
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            table[rank] = piece
+        for batch in batches:
+            rows = []
+            for x in batch:
+                ids = bpe.encode_ordinary(x.as_py() or "") if bpe else x.values.to_pylist()
+                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest()))
+            columns = [*zip(*rows, strict=True)] or [[]] * 3
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and hex SHA-256 of the ids (decimal, joined by spaces) and of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "ids"), ranks_path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
-    )
+    short, long, joined = parts(docs.select("doc_id", "text"), ranks_path, pattern, "text", "ids", "key", CHUNK_CHARS, OVERLAP_CHARS)
+    own = short.select("doc_id", digester(ranks_path, pattern)(F.col("text")).alias("d"))
+    stored = joined.select("key", digester(ranks_path, None)(F.col("ids")).alias("d"))
+    return own.unionByName(spread_join(long.select("doc_id", "key"), stored, "key", "doc_id").select("doc_id", "d")).select("doc_id", "d.*")
