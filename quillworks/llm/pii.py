@@ -3,7 +3,8 @@
 Patterns give candidate spans. On each, labelers vote for, against or not at all: the format's own checks, a gazetteer
 (known endings, issuers, dialling codes, reserved ranges), cue words around, and whether the span stands free. The votes'
 patterns, of which there are at most kinds x 3**labelers, are counted over the corpus; expectation-maximisation over these
-counts estimates each labeler's reliability and each pattern's probability. With those as soft targets a logistic span
+counts estimates each labeler's reliability and each pattern's probability, spans whose format settles them held at their
+verdict. With those as soft targets a logistic span
 classifier is trained on votes and on the span's shape, again over counts. Its verdict adds spans of the wider kinds and
 phone candidates that failed a check; base spans that pass their checks always stay. Card and ip candidates that failed theirs
 never count, whatever the classifier says: a wrong check digit or a part above 255 shows that they are other numbers.
@@ -124,7 +125,7 @@ def voted(spans: DataFrame) -> DataFrame:
     digits = F.regexp_replace("match", "[^0-9]", "")
     ok = passes()
     ending = F.lower(F.regexp_extract("match", r"([A-Za-z]+)$", 1))
-    known = (
+    listed = (
         F.when(kind.isin("email", "at"), ending.isin(ENDINGS))
         .when(kind == "ip", ~match.rlike(RESERVED))
         .when(kind == "card", digits.rlike(ISSUERS))
@@ -134,6 +135,8 @@ def voted(spans: DataFrame) -> DataFrame:
         .when(kind == "secret", match.rlike("[0-9]") & match.rlike("[a-z]"))
         .otherwise(match.rlike("^(DE|FR|ES|IT|NL|BE|AT|CH|GB)"))
     )
+    # a leading 0 may be a trunk prefix, and brackets mark an area code: no vote against these
+    unsure = (kind == "local") & match.rlike(r"^[0(]")
     near = F.lower(F.concat("before", F.lit(" "), "after"))
     cue = F.lit(False)
     for k, cues in CUES.items():
@@ -143,7 +146,7 @@ def voted(spans: DataFrame) -> DataFrame:
         {
             "base": F.coalesce(ok, F.lit(False)),
             "format": F.when(ok.isNull(), 0).when(ok, 1).otherwise(-1),
-            "gazetteer": _vote(known, ~known),
+            "gazetteer": _vote(listed, ~listed & ~unsure),
             "context": _vote(cue, near.rlike(AGAINST)),
             "free": _vote(~tight, tight),
             "long": (F.length("match") > 15).cast("int"),
@@ -152,28 +155,40 @@ def voted(spans: DataFrame) -> DataFrame:
     )
 
 
-def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]):
-    """(prior of each kind, per labeler {vote: (P if personal, P if not)}) by expectation-maximisation over counted votes.
+def known(kind: str, votes: tuple[int, ...]) -> float | None:
+    """The verdict on spans whose format settles it: 1 where it passes, 0 for card and ip candidates that fail, else None."""
+    if votes[0] > 0:
+        return 1.0
+    return 0.0 if votes[0] < 0 and kind in ("card", "ip") else None
 
-    It starts from a majority of votes; a count of one half for each vote keeps probabilities from 0 and 1.
+
+def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], settled=lambda kind, votes: None):
+    """(prior of each kind, per labeler {vote: (P if personal, P if not)}, share of personal spans by kind and votes) by
+    expectation-maximisation over counted votes.
+
+    It starts from a majority of votes; a count of one half for each vote keeps probabilities from 0 and 1. A labeler that
+    abstains says nothing either way: the chances are of the votes it casts, so that kinds on which it always abstains do not
+    stand out. Shares that ``settled`` knows are held.
     """
-    share = {(k, v): 1 / (1 + math.exp(-sum(v))) for k, v, _ in counts}
+    share = {(k, v): 1 / (1 + math.exp(-sum(v))) if (s := settled(k, v)) is None else s for k, v, _ in counts}
     prior, tables = {}, []
     for _ in range(ROUNDS):
         tables = []
         for j in range(len(LABELERS)):
-            yes, no = dict.fromkeys((-1, 0, 1), 0.5), dict.fromkeys((-1, 0, 1), 0.5)
+            yes, no = dict.fromkeys((-1, 1), 0.5), dict.fromkeys((-1, 1), 0.5)
             for k, v, n in counts:
-                yes[v[j]] += n * share[k, v]
-                no[v[j]] += n * (1 - share[k, v])
+                if v[j]:
+                    yes[v[j]] += n * share[k, v]
+                    no[v[j]] += n * (1 - share[k, v])
             tables.append({x: (yes[x] / sum(yes.values()), no[x] / sum(no.values())) for x in yes})
         prior = {}
         for kind in {k for k, _, _ in counts}:
             own = [(v, n) for k, v, n in counts if k == kind]
             prior[kind] = (1 + sum(n * share[kind, v] for v, n in own)) / (2 + sum(n for _, n in own))
         for k, v, _ in counts:
-            odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(tables[j][x][0] / tables[j][x][1]) for j, x in enumerate(v))
-            share[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            if settled(k, v) is None:
+                odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(tables[j][x][0] / tables[j][x][1]) for j, x in enumerate(v) if x)
+                share[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prior, tables, share
 
 
@@ -205,7 +220,7 @@ def classifier(spans: DataFrame) -> list[float]:
     for r in counted:
         key = (r["kind"], tuple(r[x] for x in LABELERS))
         by_votes[key] = by_votes.get(key, 0) + r["count"]
-    _, _, share = reliabilities(sorted((k, v, n) for (k, v), n in by_votes.items()))
+    _, _, share = reliabilities(sorted((k, v, n) for (k, v), n in by_votes.items()), known)
     rows = [(_features(r["kind"], votes := tuple(r[x] for x in LABELERS), r["long"], r["mixed"]), share[r["kind"], votes], r["count"]) for r in counted]
     return train(sorted(rows))
 
